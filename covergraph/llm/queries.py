@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergraph.llm import chat, decontaminate, mixing
+from covergraph.llm import chat, decontaminate, mixing, warc
 from covergraph.llm._common import table
 
 
@@ -17,6 +17,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.conversation_events(rows))))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("long"))
+    return warc.record_index(warc.read_chunks(manifest, with_data=False)).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,4 +43,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op3_warc": warc.ORACLE, "op6_mixing": mixing.ORACLE, "op8_decontamination": decontaminate.ORACLE}
