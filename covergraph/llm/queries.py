@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergraph.llm import chat, decontaminate, mixing, warc
-from covergraph.llm._common import table
+from covergraph.llm import chat, decontaminate, mixing, quality_rules, warc
+from covergraph.llm._common import materialize, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = materialize(quality_rules.score(docs, quality_rules.fit(docs)).select("doc_id", "lang", "quality"), "quality-scores")
+    return quality_rules.verdict(scored, quality_rules.bands(scored)).select(
+        "doc_id", *[f"quality.{c}" for c in quality_rules.BASE], "quality.base_failed", "quality.kept", "quality.bits")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
