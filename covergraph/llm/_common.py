@@ -2,55 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covergraph.sources.shared import fresh_path, materialize, shared_dir  # noqa: F401
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN_DIR: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, read by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests, local mode) a temporary folder of this process is used; on a
-    cluster an unset folder is an error, as executors would not see each other's files.
-    """
-    global _OWN_DIR
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _OWN_DIR is None:
-        _OWN_DIR = tempfile.mkdtemp(prefix="covergraph-")
-        atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
-    return f"file://{_OWN_DIR}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/covergraph/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, divisor: int):
     """crc32 of the id written as text, modulo ``divisor``: the fixed folds of the queries."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
