@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergraph.llm import chat, decontaminate, mixing, near_dedup, quality_rules, suffix_dedup, warc
-from covergraph.llm._common import materialize, table
+from covergraph.llm import chat, decontaminate, language_id, mixing, near_dedup, quality_rules, suffix_dedup, warc
+from covergraph.llm._common import crc_mod, materialize, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.conversation_events(rows))))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(crc_mod("doc_id", 4) != 2))
+    found = docs.select("doc_id", language_id.predict(model, docs, F.col("text")).alias("p"))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "p.*")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("long"))
