@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergraph.llm import chat, decontaminate, language_id, mixing, near_dedup, quality_rules, suffix_dedup, warc
+from covergraph.llm import chat, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, warc
 from covergraph.llm._common import crc_mod, materialize, table
 
 
@@ -39,6 +39,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[f"quality.{c}" for c in quality_rules.BASE], "quality.base_failed", "quality.kept", "quality.bits")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    scored = docs.select("doc_id", quality_classifier.statistics(F.col("text")).alias("s")).select("doc_id", model.column(F.col("s")).alias("score"))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
