@@ -8,10 +8,11 @@ Two texts agree in a register with the probability Jaccard of their weighted set
 banded; texts that share a band are candidates. A pair is a link if the Jaccard similarity of its
 distinct shingles is at least ``threshold``. Classes are the connected components of links.
 
-A bucket of n texts is not turned into n * n pairs: its smallest text is compared with the others,
-components are formed, and only members of different components are compared further: again by one
-leader per bucket while whole buckets are far from connected, then pair by pair. What is left out
-are pairs inside one component, which change no class.
+A bucket of n texts is not turned into n * n pairs. Each bucket has a leader, the member that shares
+the most bucket places with others, which is compared with all members; components are formed. Of
+further pairs only those are verified that lie in different components (others change no class),
+whose sizes and distances from the leader allow the threshold (the Jaccard distance is a metric)
+and whose signature sketches do not differ far more than chance explains at the threshold.
 
 Nulls and empties: a null text and a text without words have no shingles; equal ones are exact
 copies (null texts are copies of each other). A text with fewer words than a shingle is one shingle.
@@ -22,19 +23,22 @@ table gives no rows. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import materialize
+from covergraph.llm._common import KeyFilter, materialize
 from covergraph.operators.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
+#: Longs in a sketch.
+SKETCH = 4
 _PIECE_CHARS = 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,17 +130,21 @@ def _pieces(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, digest, n, keys): band keys of every text, n distinct shingles."""
+    """(id, digest, n, keys, sketch): band keys and sketch of every text, n distinct shingles."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for s, e in _pieces(texts):
                 elem, doc, times = distinct_shingles(texts[s:e])
                 n = np.bincount(doc, minlength=e - s)
-                keys = band_keys(prob_minhash(elem, times.astype(np.float64), doc, e - s, bands * rows), bands, rows)
-                yield pd.DataFrame({"id": batch["id"].iloc[s:e].to_numpy(), "digest": batch["digest"].iloc[s:e].to_numpy(), "n": n, "keys": [k if c else [] for k, c in zip(keys, n)]})
+                signature = prob_minhash(elem, times.astype(np.float64), doc, e - s, bands * rows)
+                keys = band_keys(signature, bands, rows)
+                yield pd.DataFrame({
+                    "id": batch["id"].iloc[s:e].to_numpy(), "digest": batch["digest"].iloc[s:e].to_numpy(), "n": n,
+                    "keys": [k if c else [] for k, c in zip(keys, n)], "sketch": list(_sketch(signature)),
+                })
 
-    return docs.mapInPandas(sign, "id long, digest string, n long, keys array<long>")
+    return docs.mapInPandas(sign, "id long, digest string, n long, keys array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -153,64 +161,82 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInPandas(build, "id long, set array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of distinct pairs (a, b) whose sets have at least the threshold's Jaccard similarity."""
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with the Jaccard similarity of their sets."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
+
+
+def _sketch(signature: np.ndarray) -> np.ndarray:
+    """SKETCH longs per text with two bits of each register."""
+    bits = np.zeros((len(signature), SKETCH * 64), dtype=bool)
+    m = min(signature.shape[1], SKETCH * 32)
+    bits[:, :m] = (signature[:, :m] >> np.uint64(17)) & np.uint64(1)
+    bits[:, SKETCH * 32 : SKETCH * 32 + m] = (signature[:, :m] >> np.uint64(41)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_different_bits(registers: int, threshold: float, sigmas: float = 4.5) -> int:
+    """How many sketch bits may differ for a pair at the threshold, with room for chance."""
+    m = min(registers, SKETCH * 32)
+    miss = 1 - threshold
+    return int(np.ceil(m * miss + sigmas * np.sqrt(m * (1.5 * miss - miss * miss))))
 
 
 def near_classes(
     docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text",
-    leader_rounds: int = 8, pair_factor: int = 2,
 ) -> DataFrame:
     """One row per document row: id, copy_of (smallest id of its exact copies), class_id (smallest id of its class)."""
     text = F.col(text_col)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null")).alias("digest"), text.cast("binary").alias("text"))
     known = named.where("id IS NOT NULL")
     signed = materialize(_signed(known, bands, rows), "near-signed")
-    first = materialize(signed.groupBy("digest").agg(F.min("id").alias("copy_of"), F.first("n").alias("n"), F.count("*").alias("copies")), "near-first")
     # Only the smallest id of a text stands for it in the buckets.
-    entries = signed.groupBy("digest").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id"), F.min("n").alias("n")).select("id", "n", F.explode("keys").alias("bucket")).distinct()
-    entries = materialize(entries, "near-entries")
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(entries.join(shared.select("bucket"), "bucket"), "near-members")
-    wanted = members.select("id").distinct()
-    sets = materialize(_sets(known.join(wanted, "id", "left_semi").dropDuplicates(["id", "digest"])), "near-sets")
+    first = materialize(signed.groupBy("digest").agg(F.min_by(F.struct("n", "keys", "sketch"), "id").alias("f"), F.min("id").alias("copy_of")).select("digest", "copy_of", "f.*"), "near-first")
+    entries = first.select(F.col("copy_of").alias("id"), F.explode("keys").alias("bucket")).distinct()
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(entries.join(sizes, "bucket"), "near-members")
+    # A text in many large buckets is in the middle of its group; it leads those buckets.
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    about = materialize(first.select(F.col("copy_of").alias("id"), "n", "keys", "sketch").join(weight, "id").dropDuplicates(["id"]), "near-about")
+    needed = KeyFilter(about.select("id"), "id")
+    sets = materialize(_sets(known.where(needed.test("id")).join(about.select("id"), "id", "left_semi").dropDuplicates(["id", "digest"])), "near-sets")
     sized = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
-    def star(rows_: DataFrame) -> DataFrame:
-        """Pairs of each bucket's smallest entry with its others, of other components where known."""
-        lead = rows_.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), "id").alias("l"))
-        joined = rows_.join(lead, "bucket")
-        return joined.where((F.col("id") != F.col("l.id")) & (F.col("component") != F.col("l.component")) & sized(F.col("n"), F.col("l.n"))).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
-
-    labelled = members.withColumn("component", F.col("id"))
-    links = materialize(_verified(star(labelled), sets, threshold), "near-links")
+    weighed = members.select("bucket", "id").join(about.select("id", "n", "weight"), "id")
+    lead = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), F.col("n").alias("ln"))).alias("l")).select("bucket", (-F.col("l.minus")).alias("leader"), F.col("l.ln").alias("ln"))
+    led = materialize(weighed.join(lead, "bucket").select("bucket", "id", "leader", "n", "ln"), "near-led")
+    star = led.where((F.col("id") != F.col("leader")) & sized(F.col("n"), F.col("ln"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    stars = materialize(_similar(star, sets), "near-stars")
+    links = stars.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     components = connected_components(links)
-    for turn in range(leader_rounds + 1):
-        labelled = members.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        per = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = materialize(labelled.join(per.select("bucket"), "bucket"), "near-open")
-        todo = per.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if not todo[1]:
-            break
-        last = todo[0] <= pair_factor * todo[1] or turn == leader_rounds
-        if last:
-            other = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = open_.join(other, "bucket").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & sized(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct()
-        else:
-            # The leader of the rest: the smallest entry outside the component of the last leader.
-            lead = open_.groupBy("bucket").agg(F.min_by("component", "id").alias("done"))
-            rest = open_.join(lead, "bucket")
-            fresh = rest.where("component != done").groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn))).alias("l"))
-            pairs = rest.join(fresh, "bucket").where((F.col("component") != F.col("l.component")) & sized(F.col("n"), F.col("l.n"))).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
-        found = _verified(pairs, sets, threshold)
-        links = materialize(links.unionByName(found), "near-links")
-        components = connected_components(links)
-        if last:
-            break
+
+    # What is left: members of a bucket in other components than its leader, against all members in other components.
+    part = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    placed = led.join(part("id"), "id", "left").join(stars.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left")
+    placed = placed.join(part("leader"), "leader", "left").select(
+        "bucket", "id", "n", F.coalesce("id_part", "id").alias("part"), F.coalesce("leader_part", "leader").alias("lead_part"),
+        F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")).alias("far"))
+    placed = materialize(placed, "near-placed")
+    apart = placed.where("part != lead_part").select("bucket").distinct()
+    open_ = materialize(placed.join(apart, "bucket").join(about.select("id", "keys", "sketch"), "id"), "near-open")
+    y = open_.select(*[F.col(c).alias(f"{c}_y") for c in open_.columns])
+    x = open_.where("part != lead_part")
+    bits = reduce(Column.__add__, [F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_y")[k])) for k in range(SKETCH)])
+    # Distances to the same leader differ by no more than two texts do. A pair is taken in the first band that it shares.
+    close = (
+        (F.col("bucket") == F.col("bucket_y")) & (F.col("part") != F.col("part_y")) & ((F.col("part_y") == F.col("lead_part_y")) | (F.col("id") < F.col("id_y")))
+        & sized(F.col("n"), F.col("n_y")) & F.coalesce(F.abs(F.col("far") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
+        & (bits <= most_different_bits(bands * rows, threshold)) & (F.array_intersect("keys", "keys_y")[0] == F.col("bucket"))
+    )
+    pairs = x.join(y, close).select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b")).distinct()
+    found = _similar(pairs, sets).where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    more = materialize(found, "near-more")
+    if not more.isEmpty():
+        # Components so far are stars of their smallest member.
+        components = connected_components(more.unionByName(components.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))))
     classes = first.select("digest", "copy_of").join(components.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
     out = signed.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_col), "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
     nulls = named.where("id IS NULL").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"))
