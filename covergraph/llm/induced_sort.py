@@ -70,7 +70,7 @@ class BucketQueue:
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for part in np.split(order, cuts):
             b = int(char[part[0]] >> self.shift)
-            rows = np.stack([char[part], place[part], pos[part]])
+            rows = np.array([char[part], place[part], pos[part]], dtype=np.int32)
             if b == self.current:
                 self._insert(rows)
             else:
@@ -96,12 +96,12 @@ class BucketQueue:
         """Make a bucket the current one: read it back and put it in order."""
         parts = []
         if bucket in self.files:
-            parts.append(np.fromfile(self.files[bucket], dtype=np.int64).reshape(-1, 3).T)
+            parts.append(np.fromfile(self.files[bucket], dtype=np.int32).reshape(-1, 3).T)
             os.remove(self.files.pop(bucket))
         for rows in self.held.pop(bucket, []):
             parts.append(rows)
             self.size -= rows.nbytes
-        self.current, self.now = bucket, np.zeros((3, 0), dtype=np.int64)
+        self.current, self.now = bucket, np.zeros((3, 0), dtype=np.int32)
         if parts:
             self._insert(np.concatenate(parts, axis=1))
 
@@ -218,7 +218,7 @@ def _induce(text, s_type, order, lcp, depth, scratch):
     for descending in (False, True):
         queue = BucketQueue(scratch, top, descending)
         table = RangeMinima(scratch, n + len(order) + 1)
-        out_pos, out_lcp, filled = scratch.array(n, np.int64), scratch.array(n, np.uint8), 0
+        out_pos, out_lcp, filled = scratch.array(n, np.int32), scratch.array(n, np.uint8), 0
         last_char = last_place = last_pos = -1
         # Given suffixes: LMS ones on the way up, type L ones on the way down; they follow the induced ones of their character.
         given, given_lcp = (order, lcp) if not descending else (phases[0][0][::-1], None)
@@ -246,7 +246,7 @@ def _induce(text, s_type, order, lcp, depth, scratch):
                 before = pos - 1
                 able = before >= 0
                 able[able] &= (s_type[before[able]] == descending)
-                before_char = np.where(able, text[np.maximum(before, 0)], sign * (1 << 60))
+                before_char = np.where(able, text[np.maximum(before, 0)], np.int32(sign * (2**31 - 1)))
                 bar = sign * np.minimum.accumulate(sign * before_char)
                 # A member may not come after something smaller that an earlier member induces; of its own character,
                 # induced ones go before given ones and after induced ones that are there already.
@@ -313,7 +313,8 @@ WIDE = 1024
 def suffix_order(text: np.ndarray, depth: int, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): suffixes in order to ``depth`` characters, common prefixes with the one before, at most depth.
 
-    The last character has to be the smallest and to occur once. depth is at most 254.
+    The last character has to be the smallest and to occur once. depth is at most 254, and texts
+    have less than 2**31 characters.
     """
     own = scratch is None
     scratch = scratch or Scratch()
@@ -321,15 +322,17 @@ def suffix_order(text: np.ndarray, depth: int, scratch: Scratch | None = None) -
         n = len(text)
         if n == 1:
             return np.zeros(1, np.int64), np.zeros(1, np.uint8)
-        text = text.astype(np.int64)
+        text = text.astype(np.int32)
         s_type = _types(text)
-        lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+        lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
         name, distinct = _names(text, lms)
         if distinct:
             rank, shared = np.argsort(name), np.zeros(len(lms), np.int64)
         else:
             name = np.unique(name, return_inverse=True)[1]
-            rank, names_shared = (suffix_order(name, depth, scratch) if name.max() < WIDE else _by_doubling(name, depth))
+            # A name stands for two characters at least.
+            half = depth // 2 + 1
+            rank, names_shared = suffix_order(name, half, scratch) if name.max() < WIDE else _by_doubling(name, half)
             shared = lms[np.minimum(rank + names_shared, len(lms) - 1)] - lms[rank]
         order = lms[rank]
         lcp = np.zeros(len(order), np.uint8)

@@ -31,28 +31,31 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import materialize
+from covergraph.llm._common import KeyFilter, materialize
 from covergraph.llm.induced_sort import Scratch, suffix_order
 from covergraph.llm.near_dedup import mix64
 
 KMER = 24
 HOT_SHARE = 2000
 #: Pieces of a minimizer stay together; shards are cut at minimizers after about this many bytes.
-SHARD_BYTES = 4 << 20
-_SEGMENT = 4 << 20
+SHARD_BYTES = 1 << 20
+#: Bytes taken at a time; small enough for the temporaries to stay in the processor cache.
+_SEGMENT = 1 << 16
+_ROWS = 250_000
 _POS_BITS = 24
-_ONE = np.uint64(1)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def _kmer_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the KMER bytes from each place on."""
-    words = np.lib.stride_tricks.as_strided(data, shape=(len(data) - 7, 8), strides=(1, 1))
-    words = np.ascontiguousarray(words).view(np.uint64).ravel()
+    words = np.empty(len(data) - 7, dtype=np.uint64)
+    for k in range(8):
+        words[k::8] = data[k : k + (len(data) - k) // 8 * 8].view(np.uint64)
     n = len(data) - KMER + 1
-    h = mix64(words[:n] + np.uint64(0x9E3779B97F4A7C15))
+    h = words[:n] * _ODD[0]
     for k in range(8, KMER, 8):
-        h = mix64(h ^ (words[k : k + n] * np.uint64(0xD6E8FEB86659FD93)))
-    return h
+        h += words[k : k + n] * _ODD[k // 8]
+    return mix64(h)
 
 
 def pieces_of(data: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,33 +147,6 @@ def _hot(named: DataFrame, length: int) -> np.ndarray:
     return np.sort(np.array([r.m for r in rows], dtype=np.int64).view(np.uint64))
 
 
-class KeyFilter:
-    """A Bloom filter of long keys, built in SQL; its size is bounded, and it only saves shuffling."""
-
-    def __init__(self, keys: DataFrame, column: str, most_bits: int = 1 << 27):
-        self.context, n = keys.sparkSession.sparkContext, keys.count()
-        self.bits = 1 << min(most_bits.bit_length() - 1, max(10, (8 * n).bit_length()))
-        probe = F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(self.bits)) for k in (1, 2)]))
-        words = keys.select(probe.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("v")).toArrow()
-        self.words = np.zeros(self.bits // 64, dtype=np.int64)
-        self.words[words.column("w").to_numpy()] = words.column("v").to_numpy()
-
-    def test(self, column: str):
-        """A column: whether the key may be there."""
-        shared = self.context.broadcast(self.words)
-
-        @F.pandas_udf("boolean")
-        def there(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for a, b in batches:
-                yield pd.Series(_set(shared.value, a.to_numpy()) & _set(shared.value, b.to_numpy()))
-
-        return there(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(self.bits)) for k in (1, 2)])
-
-
-def _set(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (words[bits >> 6] >> (bits & 63)) & 1 == 1
-
-
 def _scan(named: DataFrame, length: int, hot, *, firsts: bool) -> DataFrame:
     """Pieces (m, p, doc, dk, start, size); with ``firsts`` one row per content and batch: its first holder and n."""
     columns = "m long, p long, doc long, dk long, start int, size int" + (", n long" if firsts else "")
@@ -178,20 +154,31 @@ def _scan(named: DataFrame, length: int, hot, *, firsts: bool) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, doc, dk = batch["text"].tolist(), batch["doc"].to_numpy(), batch["dk"].to_numpy()
+            held, rows = [], 0
             for owner, start, size, m in _batch_pieces(texts, length, hot.value):
-                views = [memoryview(t) for t in texts] if len(texts) < 1000 else texts
-                p = np.fromiter((xxhash.xxh3_64_intdigest(views[o][s : s + z]) for o, s, z in zip(owner.tolist(), start.tolist(), size.tolist())), dtype=np.uint64, count=len(owner))
-                frame = pd.DataFrame({"m": m.view(np.int64), "p": p.view(np.int64), "doc": doc[owner], "dk": dk[owner], "start": start.astype(np.int32), "size": size.astype(np.int32)})
-                if firsts:
-                    frame = frame.sort_values(["doc", "dk", "start"], kind="stable")
-                    same = frame.groupby(["m", "p"], sort=False)
-                    n = same["size"].transform("count")
-                    frame = frame.assign(n=n)[~frame.duplicated(["m", "p"])]
-                yield frame
+                digest_ = xxhash.xxh3_64_intdigest
+                p = np.fromiter((digest_(texts[o][s:e]) for o, s, e in zip(owner.tolist(), start.tolist(), (start + size).tolist())), dtype=np.uint64, count=len(owner))
+                held.append((m.view(np.int64), p.view(np.int64), doc[owner], dk[owner], start.astype(np.int32), size.astype(np.int32)))
+                rows += len(owner)
+                if rows > _ROWS:
+                    yield _frame(held, firsts)
+                    held, rows = [], 0
+            if held:
+                yield _frame(held, firsts)
 
     return named.select("doc", "dk", "text").mapInPandas(scan, columns)
 
 
+def _frame(held: list[tuple], firsts: bool) -> pd.DataFrame:
+    frame = pd.DataFrame(dict(zip(("m", "p", "doc", "dk", "start", "size"), map(np.concatenate, zip(*held)))))
+    if firsts:
+        key = mix64(frame["m"].to_numpy().view(np.uint64) * _ODD[0] + frame["p"].to_numpy().view(np.uint64))
+        by = np.lexsort((frame["start"], frame["dk"], frame["doc"]))
+        _, at, n = np.unique(key[by], return_index=True, return_counts=True)
+        frame = frame.iloc[by[at]].assign(n=n)
+    return frame
+
+
 def _sort_shards(rows: DataFrame, length: int) -> DataFrame:
     """Repeats (doc, dk, s, e) among pieces (m, doc, dk, start, data) of different contents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
