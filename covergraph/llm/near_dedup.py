@@ -37,8 +37,8 @@ from covergraph.operators.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-#: Longs in a sketch.
-SKETCH = 4
+#: Longs in a sketch of texts that are left after the leaders.
+SKETCH = 32
 _PIECE_CHARS = 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +130,7 @@ def _pieces(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, digest, n, keys, sketch): band keys and sketch of every text, n distinct shingles."""
+    """(id, digest, n, keys): band keys of every text, n distinct shingles."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
@@ -141,10 +141,10 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(signature, bands, rows)
                 yield pd.DataFrame({
                     "id": batch["id"].iloc[s:e].to_numpy(), "digest": batch["digest"].iloc[s:e].to_numpy(), "n": n,
-                    "keys": [k if c else [] for k, c in zip(keys, n)], "sketch": list(_sketch(signature)),
+                    "keys": [k if c else [] for k, c in zip(keys, n)],
                 })
 
-    return docs.mapInPandas(sign, "id long, digest string, n long, keys array<long>, sketch array<long>")
+    return docs.mapInPandas(sign, "id long, digest string, n long, keys array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -169,19 +169,26 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
 
 
-def _sketch(signature: np.ndarray) -> np.ndarray:
-    """SKETCH longs per text with two bits of each register."""
-    bits = np.zeros((len(signature), SKETCH * 64), dtype=bool)
-    m = min(signature.shape[1], SKETCH * 32)
-    bits[:, :m] = (signature[:, :m] >> np.uint64(17)) & np.uint64(1)
-    bits[:, SKETCH * 32 : SKETCH * 32 + m] = (signature[:, :m] >> np.uint64(41)) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.int64)
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(id, sketch): SKETCH longs with two bits of each of SKETCH * 32 registers of an unweighted signature."""
+    m = SKETCH * 32
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), 256):
+                part = batch.iloc[s : s + 256]
+                size = part["set"].map(len).to_numpy()
+                elem = mix64(np.concatenate(part["set"].tolist()).astype(np.uint32).astype(np.uint64) + _GOLD)
+                signature = prob_minhash(elem, np.ones(len(elem)), np.repeat(np.arange(len(part)), size), len(part), m)
+                bits = np.concatenate([(signature >> np.uint64(17)) & np.uint64(1), (signature >> np.uint64(41)) & np.uint64(1)], axis=1)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "sketch": list(np.packbits(bits.astype(bool), axis=1).view(np.int64))})
+
+    return sets.mapInPandas(build, "id long, sketch array<long>")
 
 
-def most_different_bits(registers: int, threshold: float, sigmas: float = 4.5) -> int:
+def most_different_bits(threshold: float, sigmas: float = 4.5) -> int:
     """How many sketch bits may differ for a pair at the threshold, with room for chance."""
-    m = min(registers, SKETCH * 32)
-    miss = 1 - threshold
+    m, miss = SKETCH * 32, 1 - threshold
     return int(np.ceil(m * miss + sigmas * np.sqrt(m * (1.5 * miss - miss * miss))))
 
 
@@ -194,13 +201,13 @@ def near_classes(
     known = named.where("id IS NOT NULL")
     signed = materialize(_signed(known, bands, rows), "near-signed")
     # Only the smallest id of a text stands for it in the buckets.
-    first = materialize(signed.groupBy("digest").agg(F.min_by(F.struct("n", "keys", "sketch"), "id").alias("f"), F.min("id").alias("copy_of")).select("digest", "copy_of", "f.*"), "near-first")
+    first = materialize(signed.groupBy("digest").agg(F.min_by(F.struct("n", "keys"), "id").alias("f"), F.min("id").alias("copy_of")).select("digest", "copy_of", "f.*"), "near-first")
     entries = first.select(F.col("copy_of").alias("id"), F.explode("keys").alias("bucket")).distinct()
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(entries.join(sizes, "bucket"), "near-members")
     # A text in many large buckets is in the middle of its group; it leads those buckets.
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    about = materialize(first.select(F.col("copy_of").alias("id"), "n", "keys", "sketch").join(weight, "id").dropDuplicates(["id"]), "near-about")
+    about = materialize(first.select(F.col("copy_of").alias("id"), "n", "keys").join(weight, "id").dropDuplicates(["id"]), "near-about")
     needed = KeyFilter(about.select("id"), "id")
     sets = materialize(_sets(known.where(needed.test("id")).join(about.select("id"), "id", "left_semi").dropDuplicates(["id", "digest"])), "near-sets")
     sized = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
@@ -221,7 +228,9 @@ def near_classes(
         F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")).alias("far"))
     placed = materialize(placed, "near-placed")
     apart = placed.where("part != lead_part").select("bucket").distinct()
-    open_ = materialize(placed.join(apart, "bucket").join(about.select("id", "keys", "sketch"), "id"), "near-open")
+    open_ = materialize(placed.join(apart, "bucket").join(about.select("id", "keys"), "id"), "near-open")
+    sketches = materialize(_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi")).dropDuplicates(["id"]), "near-sketches")
+    open_ = open_.join(sketches, "id")
     y = open_.select(*[F.col(c).alias(f"{c}_y") for c in open_.columns])
     x = open_.where("part != lead_part")
     bits = reduce(Column.__add__, [F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_y")[k])) for k in range(SKETCH)])
@@ -229,7 +238,7 @@ def near_classes(
     close = (
         (F.col("bucket") == F.col("bucket_y")) & (F.col("part") != F.col("part_y")) & ((F.col("part_y") == F.col("lead_part_y")) | (F.col("id") < F.col("id_y")))
         & sized(F.col("n"), F.col("n_y")) & F.coalesce(F.abs(F.col("far") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
-        & (bits <= most_different_bits(bands * rows, threshold)) & (F.array_intersect("keys", "keys_y")[0] == F.col("bucket"))
+        & (bits <= most_different_bits(threshold)) & (F.array_intersect("keys", "keys_y")[0] == F.col("bucket"))
     )
     pairs = x.join(y, close).select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b")).distinct()
     found = _similar(pairs, sets).where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
