@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergraph.llm import chat, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, warc
+from covergraph.llm import chat, decontaminate, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, warc
 from covergraph.llm._common import crc_mod, materialize, table
 
 
@@ -50,6 +50,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer, tail = lm_scoring.fit(docs.where(crc_mod("doc_id", 7) != 2))
+    scored = lm_scoring.score(docs, scorer, tail)
+    return scored.select(
+        "doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(scorer.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0), lambda a, x: a + x).cast("long")
