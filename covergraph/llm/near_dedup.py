@@ -253,9 +253,14 @@ def near_classes(
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id. Rows without an id stay."""
+    """``docs`` with one document of each class: the one with the smallest id, in one row. Rows without an id stay."""
     classes = near_classes(docs, id_col=id_col, **options)
-    gone = materialize(classes.where(F.col("class_id") != F.col(id_col)).select(id_col).distinct(), "near-gone")
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    with_id = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return with_id.unionByName(kept.where(F.col(id_col).isNull()))
+    gone = materialize(classes.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "near-gone")
+    twice = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "near-twice")
+    # Only rows that may have to go are shuffled; the others pass as they are.
+    key, flag = "_id", "_flag"
+    while key in docs.columns or flag in docs.columns:
+        key, flag = f"_{key}", f"_{flag}"
+    flagged = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(flag, F.col(key).isNotNull() & KeyFilter(gone.unionByName(twice).distinct(), "id").test(key))
+    some = flagged.where(F.col(flag)).join(gone.withColumnRenamed("id", key), key, "left_anti")
+    return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(some.dropDuplicates([key]).select(*docs.columns))

@@ -216,7 +216,8 @@ def fit(
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = Window.partitionBy("lang", "context")
         u = (
-            counts.join(_discounts(counts), "lang").withColumn("context", F.shiftright("gram", BITS))
+            # One row per language: always small.
+            counts.join(F.broadcast(_discounts(counts)), "lang").withColumn("context", F.shiftright("gram", BITS))
             .withColumn("u", (F.col("c") - d) / F.sum("c").over(context)).where(F.col("c") >= cut).select("lang", "gram", "context", "u")
         )
         u = materialize(u, f"kn-u{order}")
@@ -276,3 +277,13 @@ def verdict(scored: DataFrame, band: DataFrame, *, out: str = "quality", lang_co
     inside = F.coalesce(F.abs(q["bits"] - F.col("middle")) <= width, F.lit(True))
     joined = scored.join(band, F.coalesce(F.col(lang_col), F.lit("")) == F.col("band_lang"), "left")
     return joined.withColumn(out, q.withField("kept", ~q["base_failed"] & inside)).drop("band_lang", "middle", "wide", "narrow")
+
+
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    out = "quality"
+    while out in docs.columns:
+        out = f"_{out}"
+    # Scored rows are written once, texts included: neither the model runs twice nor do texts meet a join.
+    scored = materialize(score(docs, fit(docs), out=out, **options), "quality-scored")
+    return verdict(scored, bands(scored, out=out), out=out).where(F.col(f"{out}.kept")).select(*docs.columns)
