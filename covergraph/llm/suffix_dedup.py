@@ -35,10 +35,10 @@ from covergraph.llm._common import KeyFilter, materialize
 from covergraph.llm.induced_sort import Scratch, suffix_order
 from covergraph.llm.near_dedup import mix64
 
-KMER = 24
+KMER = 16
 HOT_SHARE = 2000
 #: Pieces of a minimizer stay together; shards are cut at minimizers after about this many bytes.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes taken at a time; small enough for the temporaries to stay in the processor cache.
 _SEGMENT = 1 << 16
 _ROWS = 250_000
