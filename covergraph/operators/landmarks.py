@@ -200,7 +200,7 @@ def _inside(known: DataFrame, landmarks: DataFrame, points: DataFrame, eps: floa
 
 def compute_landmarks_fps(
     points: DataFrame, eps: float, start_index: int | None = None, method: str = "ball_tree", metric="euclidean", leaf_size: int = 40, *,
-    backend=None, checkpoint_every: int = 16,
+    backend=None, checkpoint_every: int = 256, candidates: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """Farthest-point landmarks until every point lies within eps of one, and their balls.
 
@@ -230,7 +230,7 @@ def compute_landmarks_fps(
     state = points.select("point_id", "vec", F.lit(float("inf")).alias("best"))
 
     def nearer(frame: DataFrame, centers: list) -> DataFrame:
-        shared = points.sparkSession.sparkContext.broadcast(np.array([c.vec for c in centers], dtype=np.float64).reshape(len(centers), dim))
+        shared = points.sparkSession.sparkContext.broadcast(np.array(centers, dtype=np.float64).reshape(len(centers), dim))
 
         def run(batches):
             for b in batches:
@@ -241,16 +241,28 @@ def compute_landmarks_fps(
 
         return frame.mapInPandas(run, "point_id long, vec array<double>, best double")
 
-    while True:
-        chosen.append(int(current.point_id))
-        since.append(current)
+    new = [(int(current.point_id), np.array(current.vec, dtype=np.float64))]
+    while new:
+        chosen += [k for k, _ in new]
+        since += [v for _, v in new]
         now = nearer(state, since)
         if len(since) >= checkpoint_every:
             state, since = materialize(now, "fps"), []
             now = state
-        far = now.agg(F.max(F.struct("best", (-F.col("point_id")).alias("minus"), "vec")).alias("m")).first().m
-        if not far.best > eps:
-            break
-        current = type("Row", (), {"point_id": -far.minus, "vec": far.vec})()
+        # Distances only shrink. So the farthest of these candidates is the farthest of all as long as it
+        # is farther than the first point that is no candidate, and one pass yields many landmarks.
+        top = now.orderBy(F.col("best").desc(), "point_id").limit(candidates + 1).toPandas()
+        bound = float(top["best"].iloc[candidates]) if len(top) > candidates else -np.inf
+        top = top.iloc[:candidates]
+        ids, x, best = top["point_id"].to_numpy(), rj.matrix(top["vec"], dim), top["best"].to_numpy().copy()
+        new = []
+        while len(ids):
+            far = best.max()
+            if not far > eps or new and not far > bound:
+                break
+            at = np.flatnonzero(best == far)
+            k = at[ids[at].argmin()]
+            new.append((int(ids[k]), x[k]))
+            np.minimum(best, kernels.distances(x, x[k], metric_, p), out=best)
     landmarks = points.sparkSession.createDataFrame([(i, k) for i, k in enumerate(chosen)], "ball_id int, landmark_id long")
     return landmarks, rj.with_self(engine.query_radius(landmarks, eps), landmarks)
