@@ -64,7 +64,7 @@ class BucketQueue:
     def push(self, char: np.ndarray, place: np.ndarray, pos: np.ndarray) -> None:
         if not len(char):
             return
-        bucket = char >> self.shift
+        bucket = (char >> self.shift).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -90,7 +90,8 @@ class BucketQueue:
     def _insert(self, rows: np.ndarray) -> None:
         if self.now is not None and self.now.shape[1]:
             rows = np.concatenate([self.now, rows], axis=1)
-        self.now = rows[:, np.argsort(self.sign * rows[0], kind="stable")]
+        # A bucket of one character is in order as it came.
+        self.now = rows[:, np.argsort(self.sign * rows[0], kind="stable")] if self.shift else rows
 
     def open(self, bucket: int) -> None:
         """Make a bucket the current one: read it back and put it in order."""
@@ -140,20 +141,23 @@ class RangeMinima:
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S; the last character counts as S."""
-    n = len(text)
-    differ = np.flatnonzero(text[:-1] != text[1:])
-    smaller = text[differ] < text[differ + 1]
-    at = np.searchsorted(differ, np.arange(n))
-    out = np.ones(n, dtype=bool)
-    inside = at < len(differ)
-    out[inside] = smaller[at[inside]]
+    change = text[:-1] != text[1:]
+    smaller = np.append((text[:-1] < text[1:])[change], True)
+    return smaller[_before(change)]
+
+
+def _before(change: np.ndarray) -> np.ndarray:
+    """How many changes come before each character."""
+    out = np.zeros(len(change) + 1, dtype=np.int32)
+    np.cumsum(change, out=out[1:])
     return out
 
 
 def _runs(text: np.ndarray, cap: int) -> np.ndarray:
     """How often the first character of each suffix repeats at its start, up to cap."""
-    ends = np.append(np.flatnonzero(text[:-1] != text[1:]), len(text) - 1)
-    return np.minimum(ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text)) + 1, cap).astype(np.uint8)
+    change = text[:-1] != text[1:]
+    ends = np.append(np.flatnonzero(change), len(text) - 1).astype(np.int32)
+    return np.minimum(ends[_before(change)] - np.arange(len(text), dtype=np.int32) + 1, cap).astype(np.uint8)
 
 
 def _names(text: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -209,13 +213,14 @@ def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, d
     return out
 
 
-def _induce(text, s_type, order, lcp, depth, scratch):
+def _induce(text, s_type, run, order, lcp, depth, scratch):
     """All suffixes in order, and common prefixes, from the ordered LMS suffixes and theirs."""
     n = len(text)
     top = int(text.max()) + 1
-    run = _runs(text, depth)
     phases = []
+    queue = table = None
     for descending in (False, True):
+        del queue, table
         queue = BucketQueue(scratch, top, descending)
         table = RangeMinima(scratch, n + len(order) + 1)
         out_pos, out_lcp, filled = scratch.array(n, np.int32), scratch.array(n, np.uint8), 0
@@ -338,20 +343,21 @@ def suffix_order(text: np.ndarray, depth: int, scratch: Scratch | None = None) -
         lcp = np.zeros(len(order), np.uint8)
         if len(order) > 1:
             lcp[1:] = _extend(text, order[1:], order[:-1], shared[1:], depth)
-        (l_pos, l_lcp), (s_pos, s_lcp) = _induce(text, s_type, order, lcp, depth, scratch)
+        run = _runs(text, depth)
+        (l_pos, l_lcp), (s_pos, s_lcp) = _induce(text, s_type, run, order, lcp, depth, scratch)
         # The last suffix is induced by none; it is the smallest.
         s_pos, s_lcp = np.append(s_pos, n - 1)[::-1], np.append(s_lcp, 0)
         s_lcp = np.append(np.uint8(0), s_lcp[1:][::-1])
         pos = np.concatenate([l_pos, s_pos])
         common = np.concatenate([l_lcp, s_lcp])
         kind = np.concatenate([np.zeros(len(l_pos), np.int8), np.ones(len(s_pos), np.int8)])
-        by = np.argsort(text[pos] * 2 + kind, kind="stable")
+        by = text[pos] * 2 + kind
+        by = np.argsort(by.astype(np.uint16) if by.max() < 1 << 16 else by, kind="stable")
         pos, common, kind = pos[by], common[by], kind[by]
         char = text[pos]
         common[0] = 0
         common[1:][char[1:] != char[:-1]] = 0
         edge = np.flatnonzero((char[1:] == char[:-1]) & (kind[1:] != kind[:-1])) + 1
-        run = _runs(text, depth)
         common[edge] = np.minimum(run[pos[edge]], run[pos[edge - 1]])
         return pos, common
     finally:

@@ -38,10 +38,10 @@ from covergraph.llm.near_dedup import mix64
 KMER = 16
 HOT_SHARE = 2000
 #: Pieces of a minimizer stay together; shards are cut at minimizers after about this many bytes.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes taken at a time; small enough for the temporaries to stay in the processor cache.
 _SEGMENT = 1 << 16
-_ROWS = 250_000
+_ROWS = 100_000
 _POS_BITS = 24
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
