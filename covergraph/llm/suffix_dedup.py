@@ -35,7 +35,7 @@ from covergraph.llm._common import KeyFilter, materialize
 from covergraph.llm.induced_sort import Scratch, suffix_order
 from covergraph.llm.near_dedup import mix64
 
-KMER = 16
+KMER = 32
 HOT_SHARE = 2000
 #: Pieces of a minimizer stay together; shards are cut at minimizers after about this many bytes.
 SHARD_BYTES = 1 << 20
@@ -43,7 +43,7 @@ SHARD_BYTES = 1 << 20
 _SEGMENT = 1 << 16
 _ROWS = 100_000
 _POS_BITS = 24
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 def _kmer_hashes(data: np.ndarray) -> np.ndarray:
