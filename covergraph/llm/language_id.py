@@ -5,7 +5,7 @@ A text is a vector of its letter n-grams (two and three code points, lower case,
 frequencies of idf come from all learning rows. Per language, spherical k-means on at most
 ``sample`` learning rows gives ``clusters`` centroids. A text gets the language of the centroid
 with the greatest cosine; it is rejected if it is further from that centroid than nearly all texts
-of its language in the sample are.
+of its language in the sample are, and further than ``least_reach``.
 
 Nulls and ties: rows without a language teach nothing. A null text or one without a letter gets
 ``und``, score 0 and is rejected. Equal cosines go to the language that is first in code point order.
@@ -128,7 +128,7 @@ def _cluster(v: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np
 
 def fit(
     learning: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", clusters: int = 4, sample: int = 400,
-    rounds: int = 10, seed: int = 7, quantile: float = 0.999, slack: float = 1.25,
+    rounds: int = 10, seed: int = 7, quantile: float = 0.999, slack: float = 1.25, least_reach: float = 0.5,
 ) -> Centroids:
     """Learns from all rows for idf, and from about ``sample`` rows a language for the centroids."""
     rows = learning.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -151,7 +151,7 @@ def fit(
         distance = 1 - (v @ c.T).max(axis=1)
         centres.append(c)
         owner += [i] * len(c)
-        reach += [min(1.0, slack * float(np.quantile(distance, quantile)))] * len(c)
+        reach += [min(1.0, max(least_reach, slack * float(np.quantile(distance, quantile))))] * len(c)
     if not centres:
         return Centroids(idf, [], np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
     known = sorted(set(owner))
