@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes in an Arrow batch of texts, where the session's own configuration names no bound: two workers of an executor hold little.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches by bytes: batches of long texts stay small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(key):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def crc_mod(column: str, divisor: int):
     """crc32 of the id written as text, modulo ``divisor``: the fixed folds of the queries."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covergraph.llm._common import small_batches
+
 #: Bytes that are no part of a word become spaces, A-Z are lower-cased; bytes of other characters stay.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -172,7 +174,7 @@ def find(
 ) -> DataFrame:
     """Per document: id, n_words, spans (start and end of maximal hit runs, in words), items (ids as strings, sorted)."""
     out = "id long, n_words long, starts array<int>, ends array<int>, items array<string>"
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     parts = []
     for automaton in _shards(benchmark, item_col, item_text_col, window, shard_words):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
@@ -223,7 +225,7 @@ def clean(
     stands between their words; a document with more than ``max_coverage`` of its words hit is left out.
     Other documents, null texts among them, stay as they are. All columns are kept.
     """
-    schema, cut = docs.schema, docs
+    schema, cut = docs.schema, small_batches(docs)
     for automaton in _shards(benchmark, item_col, item_text_col, window, shard_words):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covergraph.llm._common import small_batches
+
 DIM = 1 << 13
 _PIECE_CHARS = 500_000
 #: Letters as a lookup over the Basic Multilingual Plane, and lower case of the same.
@@ -131,7 +133,7 @@ def fit(
     rounds: int = 10, seed: int = 7, quantile: float = 0.999, slack: float = 1.25, least_reach: float = 0.5,
 ) -> Centroids:
     """Learns from all rows for idf, and from about ``sample`` rows a language for the centroids."""
-    rows = learning.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = small_batches(learning).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = _frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -160,7 +162,7 @@ def fit(
 
 def predict(model: Centroids, docs: DataFrame, text: Column) -> Column:
     """A struct column (lang_pred, score, distance, rejected) of a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, distance double, rejected boolean")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

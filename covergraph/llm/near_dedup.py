@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import KeyFilter, materialize
+from covergraph.llm._common import KeyFilter, materialize, small_batches
 from covergraph.operators.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Longs in a sketch of texts that are left after the leaders.
 SKETCH = 32
-_PIECE_CHARS = 4_000_000
+_PIECE_CHARS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,7 +197,7 @@ def near_classes(
 ) -> DataFrame:
     """One row per document row: id, copy_of (smallest id of its exact copies), class_id (smallest id of its class)."""
     text = F.col(text_col)
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null")).alias("digest"), text.cast("binary").alias("text"))
+    named = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null")).alias("digest"), text.cast("binary").alias("text"))
     known = named.where("id IS NOT NULL")
     signed = materialize(_signed(known, bands, rows), "near-signed")
     # Only the smallest id of a text stands for it in the buckets.

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covergraph.llm._common import small_batches
 from covergraph.llm.quality_rules import SPACE, pieces, repeat_words
 
 _KINDS = ["upper", "lower", "digit", "space", "newline", "bang", "stop", "symbol", "other"]
@@ -200,6 +201,6 @@ def fit(
     unit = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.where(unit < min(1.0, sample / max(n, 1)))
     # At most about ``sample`` rows: small enough for every executor.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", statistics(F.col("text")).alias("s")).select("id", "y", "s.*").toPandas()
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", statistics(F.col("text")).alias("s")).select("id", "y", "s.*").toPandas()
     rows = rows.sort_values(["id", "y", *STATISTICS])
     return RuleEnsemble.learn(rows[STATISTICS].to_numpy(), rows["y"].to_numpy().astype(float), seed=seed)

@@ -31,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import materialize
+from covergraph.llm._common import materialize, small_batches
 
 ORDER, BITS = 5, 12
 #: White space between words, and the symbols that are counted.
 SPACE, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
 REPEAT_WINDOW = 8
-_PIECE_CHARS = 1_000_000
+_PIECE_CHARS = 400_000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -131,7 +131,7 @@ def count_grams(docs: DataFrame, *, text_col: str, lang_col: str, min_words: int
         for lang, parts in held.items():
             yield _counted(lang, _add(parts))
 
-    source = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
+    source = small_batches(docs).select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
     return source.mapInPandas(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
@@ -250,7 +250,7 @@ def score(
             c = base_counts(texts)
             yield pd.DataFrame({**c, "base_failed": base_failed(c, min_words, max_repeat), "bits": shared.value.bits(texts, lang.tolist())})
 
-    return docs.withColumn(out, measure(F.col(text_col), F.coalesce(F.col(lang_col), F.lit(""))))
+    return small_batches(docs).withColumn(out, measure(F.col(text_col), F.coalesce(F.col(lang_col), F.lit(""))))
 
 
 def bands(scored: DataFrame, *, out: str = "quality", lang_col: str = "lang", max_symbols: float = 0.02, spread: float = 6.0) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import KeyFilter, materialize
+from covergraph.llm._common import KeyFilter, materialize, small_batches
 from covergraph.llm.induced_sort import Scratch, suffix_order
 from covergraph.llm.near_dedup import mix64
 
@@ -128,7 +128,7 @@ def _batch_pieces(texts: list[bytes], length: int, hot: np.ndarray):
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text")).withColumn("dk", F.xxhash64("text"))
+    return small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text")).withColumn("dk", F.xxhash64("text"))
 
 
 def _hot(named: DataFrame, length: int) -> np.ndarray:

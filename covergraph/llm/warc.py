@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import fresh_path, materialize
+from covergraph.llm._common import fresh_path, materialize, small_batches
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -102,7 +102,7 @@ def write_archives(
     """Writes the archives; returns their manifest (file, records)."""
     folder = fresh_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
     same = rows.where(F.length("payload") >= revisit_bytes).groupBy("key").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
     known = rows.join(same, "key", "left").select(
