@@ -43,29 +43,44 @@ def select_landmarks_uncovered(points: DataFrame, eps: float, *, metric="euclide
     rest, size = points.select("point_id", "vec"), first
     owned, blocks, ball = [], [], 0
 
-    def kernel(ids, x, block):
-        near = kernels.within(x, block.vec, eps, metric, p)
-        hit = near.any(axis=1)
-        own = near.argmax(axis=1)
-        own = np.where(hit, own, 0)
-        d = np.zeros(len(ids))
-        at = np.flatnonzero(hit)
-        if len(at):
-            d[at] = rj._pair_distances(x[at], block.vec, np.arange(len(at)), own[at], metric, p)
-        return pd.DataFrame({"point_id": ids, "ball_id": np.where(hit, block.ball[own], -1), "dist": d})
+    def sort_out(frame: DataFrame, block: rj.Block) -> DataFrame:
+        """Owners of what the block's balls hold; what they do not hold keeps its vector."""
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            import pyarrow as pa
+
+            own = shared.value
+            step = max(1, min(8192, (1 << 22) // max(1, len(own.ball))))
+            for batch in batches:
+                for s in range(0, batch.num_rows, step):
+                    part = batch.slice(s, step)
+                    x = rj.arrow_matrix(part.column(1), dim)
+                    near = kernels.within(x, own.vec, eps, metric, p)
+                    hit, first_ = near.any(axis=1), near.argmax(axis=1)
+                    d, at = np.zeros(len(x)), np.flatnonzero(hit)
+                    if len(at):
+                        d[at] = rj._pair_distances(x[at], own.vec, np.arange(len(at)), first_[at], metric, p)
+                    held = pa.array(np.where(hit, own.ball[first_], -1).astype(np.int32))
+                    kept = pa.compute.if_else(pa.array(hit), pa.scalar(None, part.column(1).type), part.column(1))
+                    yield pa.RecordBatch.from_arrays([part.column(0), held, pa.array(d), kept], ["point_id", "ball_id", "dist", "vec"])
+
+        return frame.mapInArrow(run, "point_id long, ball_id int, dist double, vec array<double>")
 
     while True:
-        head = rest.orderBy("point_id").limit(size).toPandas().sort_values("point_id")
-        if not len(head):
+        ids, x = rj.collected(rest.orderBy("point_id").limit(size), dim)
+        if not len(ids):
             break
-        x, ids = rj.matrix(head["vec"], dim), head["point_id"].to_numpy(dtype=np.int64)
         new = kernels.greedy(x, eps, metric, p)
         block = rj.Block(ball + np.arange(len(new)), ids[new], x[new])
         blocks.append(pd.DataFrame({"ball_id": block.ball, "landmark_id": block.landmark}))
         ball += len(new)
-        state = materialize(rj.scan(rest, block, kernel, "point_id long, ball_id int, dist double", dim).join(rest, "point_id"), "uncovered")
+        state = materialize(sort_out(rest, block), "uncovered")
         owned.append(state.where("ball_id >= 0").select("point_id", "ball_id", "dist"))
         rest = state.where("ball_id < 0").select("point_id", "vec")
+        if len(ids) < size:
+            # All that was left was settled.
+            break
         size = min(most, 2 * size)
     if not blocks:
         return Selection(_empty(points, "ball_id int, landmark_id long"), _empty(points, "point_id long, ball_id int, dist double"))
@@ -251,10 +266,10 @@ def compute_landmarks_fps(
             now = state
         # Distances only shrink. So the farthest of these candidates is the farthest of all as long as it
         # is farther than the first point that is no candidate, and one pass yields many landmarks.
-        top = now.orderBy(F.col("best").desc(), "point_id").limit(candidates + 1).toPandas()
-        bound = float(top["best"].iloc[candidates]) if len(top) > candidates else -np.inf
-        top = top.iloc[:candidates]
-        ids, x, best = top["point_id"].to_numpy(), rj.matrix(top["vec"], dim), top["best"].to_numpy().copy()
+        top = now.orderBy(F.col("best").desc(), "point_id").limit(candidates + 1).toArrow()
+        bound = top.column("best")[candidates].as_py() if top.num_rows > candidates else -np.inf
+        top = top.slice(0, candidates)
+        ids, x, best = top.column("point_id").to_numpy(), rj.arrow_matrix(top.column("vec"), dim), top.column("best").to_numpy().copy()
         new = []
         while len(ids):
             far = best.max()

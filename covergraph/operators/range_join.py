@@ -58,28 +58,49 @@ def blocks(points: DataFrame, queries: DataFrame, dim: int) -> Iterator[Block]:
 
 
 def _block(vectors: DataFrame, dim: int) -> Block:
-    rows = vectors.toPandas().sort_values("ball_id", kind="stable")
-    vec = np.array(rows["vec"].tolist(), dtype=np.float64).reshape(len(rows), dim)
-    return Block(rows["ball_id"].to_numpy(dtype=np.int64), rows["landmark_id"].to_numpy(dtype=np.int64), vec)
+    table = vectors.select("ball_id", "landmark_id", "vec").toArrow()
+    ball = table.column("ball_id").to_numpy().astype(np.int64)
+    order = np.argsort(ball, kind="stable")
+    vec = arrow_matrix(table.column("vec"), dim) if table.num_rows else np.zeros((0, dim))
+    return Block(ball[order], table.column("landmark_id").to_numpy().astype(np.int64)[order], vec[order])
 
 
 def matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), dim)
 
 
+def arrow_matrix(column, dim: int) -> np.ndarray:
+    """Vectors of an Arrow list column as rows of a matrix."""
+    if hasattr(column, "combine_chunks"):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
+def collected(points: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a bounded frame, in order of ids."""
+    table = points.select("point_id", "vec").toArrow()
+    ids, x = table.column("point_id").to_numpy().astype(np.int64), arrow_matrix(table.column("vec"), dim) if table.num_rows else np.zeros((0, dim))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
+
+
 def scan(points: DataFrame, block: Block, kernel: Callable[[np.ndarray, np.ndarray, Block], pd.DataFrame], schema: str, dim: int, columns: tuple[str, ...] = ("point_id", "vec")) -> DataFrame:
     """Runs kernel(ids, vectors, block) over blocks of points; the block is broadcast."""
     shared = points.sparkSession.sparkContext.broadcast(block)
     step = max(1, min(8192, _MATRIX // max(1, len(block.ball))))
+    empty = points.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own, out = shared.value, to_arrow_schema(empty)
         for batch in batches:
-            for s in range(0, len(batch), step):
-                part = batch.iloc[s : s + step]
-                yield kernel(part["point_id"].to_numpy(), matrix(part["vec"], dim), own)
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), arrow_matrix(batch.column(1), dim)
+            for s in range(0, len(ids), step):
+                yield pa.RecordBatch.from_pandas(kernel(ids[s : s + step], x[s : s + step], own), schema=out, preserve_index=False)
 
-    return points.select(*columns).mapInPandas(run, schema)
+    return points.select(*columns).mapInArrow(run, schema)
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
