@@ -16,7 +16,7 @@ the median of the reference documents plus or minus a width. The width has a par
 the length of the text, as short texts scatter more.
 
 Nulls: a null text has no words and fails the base rule; a null language is a language of its own.
-An empty table gives an empty model and no rows; a language without reference documents has no band
+An empty table gives an empty model and no rows; a language with few reference documents has no band
 and rejects nothing beyond the base rule. All columns are kept, none but the named ones is read.
 """
 
@@ -253,21 +253,22 @@ def score(
     return small_batches(docs).withColumn(out, measure(F.col(text_col), F.coalesce(F.col(lang_col), F.lit(""))))
 
 
-def bands(scored: DataFrame, *, out: str = "quality", lang_col: str = "lang", max_symbols: float = 0.02, spread: float = 6.0) -> DataFrame:
+def bands(scored: DataFrame, *, out: str = "quality", lang_col: str = "lang", max_symbols: float = 0.02, spread: float = 6.0, least_documents: int = 50, least_width: float = 0.1) -> DataFrame:
     """Per language (band_lang) the middle and the half widths of its band, from its reference documents.
 
     The half width at n code points is wide + narrow / sqrt(n): ``spread`` robust standard deviations
-    of the log perplexity of long texts, and of the scatter of short ones.
+    of the log perplexity of long texts, and of the scatter of short ones; wide is at least ``least_width``.
+    A language with fewer reference documents than ``least_documents`` has no band.
     """
     q = F.col(out)
     reference = scored.where(~q["base_failed"] & (q["n_symbols"] <= max_symbols * q["word_chars"])).select(
         F.coalesce(F.col(lang_col), F.lit("")).alias("band_lang"), q["bits"].alias("bits"), q["word_chars"].alias("n"))
-    middle = reference.groupBy("band_lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("middle"))
+    middle = reference.groupBy("band_lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("middle"), F.count("*").alias("documents")).where(F.col("documents") >= least_documents).drop("documents")
     off = reference.join(middle, "band_lang").withColumn("off", F.abs(F.col("bits") - F.col("middle")))
     width = off.groupBy("band_lang").agg(
         F.percentile_approx("off", 0.5, 10000).alias("mad"), F.percentile_approx(F.col("off") * F.sqrt("n"), 0.5, 10000).alias("scatter"))
     factor = spread * 1.4826
-    return middle.join(width, "band_lang").select("band_lang", "middle", (F.col("mad") * factor).alias("wide"), (F.col("scatter") * factor).alias("narrow"))
+    return middle.join(width, "band_lang").select("band_lang", "middle", F.greatest(F.col("mad") * factor, F.lit(least_width)).alias("wide"), (F.col("scatter") * factor).alias("narrow"))
 
 
 def verdict(scored: DataFrame, band: DataFrame, *, out: str = "quality", lang_col: str = "lang") -> DataFrame:
