@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from covergraph.operators.components import connected_components
 
 EDGES = "src int, dst int, witness_count long"
+#: Edges of a ball graph whose components are settled in one task.
+SMALL_GRAPH = 200_000
 #: Fixed values of the choice between plain and matrix counting.
 STREAM_BALLS, STREAM_MEMBERSHIPS, STREAM_WITNESSES, STREAM_RATIO = 128, 2048, 512, 4.0
 
@@ -93,7 +95,8 @@ def ball_mapper_components(cover: DataFrame, balls: DataFrame) -> DataFrame:
     """(ball_id, component: its smallest ball) without building edges: each observation links its balls to its smallest one."""
     least = cover.groupBy("point_id").agg(F.min("ball_id").alias("least"))
     stars = cover.join(least, "point_id").where("ball_id != least").select(F.col("least").alias("src"), F.col("ball_id").alias("dst")).distinct()
-    found = connected_components(stars)
+    # Balls are the small side; graphs of very many go through the rounds.
+    found = connected_components(stars, one_task=SMALL_GRAPH)
     return balls.select("ball_id").join(found.select(F.col("node").cast("int").alias("ball_id"), F.col("component").cast("int").alias("component")), "ball_id", "left").select(
         "ball_id", F.coalesce("component", "ball_id").alias("component"))
 

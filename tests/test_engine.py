@@ -198,8 +198,9 @@ def test_components_equal_union_find(spark, seed):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert all(got.get(i, i) == find(i) for i in range(60))
+    for one_task in (0, 1000):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), one_task=one_task).collect()}
+        assert all(got.get(i, i) == find(i) for i in range(60))
 
 
 def test_colours(spark):
