@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,23 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; after each, freed memory goes back to the system, as workers are kept between tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Only some C libraries have it.
+        pass
+
+
 def crc_mod(column: str, divisor: int):
     """crc32 of the id written as text, modulo ``divisor``: the fixed folds of the queries."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

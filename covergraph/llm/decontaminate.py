@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import small_batches
+from covergraph.llm._common import released, small_batches
 
 #: Bytes that are no part of a word become spaces, A-Z are lower-cased; bytes of other characters stay.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -181,7 +181,7 @@ def find(
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             machine = shared.value
-            for batch in batches:
+            for batch in released(batches):
                 rows = []
                 for key, text in zip(batch["id"], batch["text"]):
                     words = words_of(text) if text is not None else []
@@ -231,7 +231,7 @@ def clean(
 
         def scrub(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             machine = shared.value
-            for batch in batches:
+            for batch in released(batches):
                 keep = np.ones(len(batch), dtype=bool)
                 texts = batch[text_col].tolist()
                 for i, text in enumerate(texts):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import small_batches
+from covergraph.llm._common import released, small_batches
 
 DIM = 1 << 13
 _PIECE_CHARS = 500_000
@@ -98,7 +98,7 @@ class Centroids:
 def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(DIM, dtype=np.int64), 0
-        for batch in batches:
+        for batch in released(batches):
             texts = batch["text"].tolist()
             for s, e in _pieces(texts):
                 total += (counts(texts[s:e]) > 0).sum(axis=0)
@@ -166,7 +166,7 @@ def predict(model: Centroids, docs: DataFrame, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, distance double, rejected boolean")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in released(batches):
             yield shared.value.predict(texts.tolist())
 
     return nearest(text)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import KeyFilter, materialize, small_batches
+from covergraph.llm._common import KeyFilter, materialize, released, small_batches
 from covergraph.operators.components import connected_components
 
 SHINGLE = 5
@@ -132,7 +132,7 @@ def _pieces(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(id, digest, n, keys): band keys of every text, n distinct shingles."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             texts = batch["text"].tolist()
             for s, e in _pieces(texts):
                 elem, doc, times = distinct_shingles(texts[s:e])
@@ -150,7 +150,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame) -> DataFrame:
     """(id, set): the sorted distinct 32-bit shingle hashes of each text."""
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             texts = batch["text"].tolist()
             for s, e in _pieces(texts):
                 elem, doc, _ = distinct_shingles(texts[s:e])
@@ -174,7 +174,7 @@ def _sketches(sets: DataFrame) -> DataFrame:
     m = SKETCH * 32
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             for s in range(0, len(batch), 256):
                 part = batch.iloc[s : s + 256]
                 size = part["set"].map(len).to_numpy()

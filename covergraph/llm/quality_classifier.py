@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import small_batches
+from covergraph.llm._common import released, small_batches
 from covergraph.llm.quality_rules import SPACE, pieces, repeat_words
 
 _KINDS = ["upper", "lower", "digit", "space", "newline", "bang", "stop", "symbol", "other"]
@@ -87,7 +87,7 @@ def statistics_of(texts: list[str | None]) -> pd.DataFrame:
 def statistics(text: Column) -> Column:
     @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in released(batches):
             yield statistics_of(texts.tolist())
 
     return measure(text)

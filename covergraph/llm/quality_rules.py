@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import materialize, small_batches
+from covergraph.llm._common import materialize, released, small_batches
 
 ORDER, BITS = 5, 12
 #: White space between words, and the symbols that are counted.
@@ -115,7 +115,7 @@ def count_grams(docs: DataFrame, *, text_col: str, lang_col: str, min_words: int
     """(lang, gram, c) of the reference documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
-        for batch in batches:
+        for batch in released(batches):
             texts, langs = batch["text"].tolist(), batch["lang"].tolist()
             c = base_counts(texts)
             good = ~base_failed(c, min_words, max_repeat) & (c["n_symbols"] <= max_symbols * c["word_chars"])
@@ -124,9 +124,9 @@ def count_grams(docs: DataFrame, *, text_col: str, lang_col: str, min_words: int
                     own = [texts[i] for i in range(s, e) if good[i] and langs[i] == lang]
                     if own:
                         held.setdefault(lang, []).append(np.unique(grams(own)[0], return_counts=True))
-            for lang in [k for k, v in held.items() if sum(len(x[0]) for x in v) > 1_000_000]:
+            for lang in [k for k, v in held.items() if sum(len(x[0]) for x in v) > 200_000]:
                 held[lang] = [_add(held[lang])]
-                if len(held[lang][0][0]) > 500_000:
+                if len(held[lang][0][0]) > 150_000:
                     yield _counted(lang, held.pop(lang)[0])
         for lang, parts in held.items():
             yield _counted(lang, _add(parts))
@@ -245,7 +245,7 @@ def score(
 
     @F.pandas_udf(f"struct<{kinds}>")
     def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, lang in batches:
+        for text, lang in released(batches):
             texts = text.tolist()
             c = base_counts(texts)
             yield pd.DataFrame({**c, "base_failed": base_failed(c, min_words, max_repeat), "bits": shared.value.bits(texts, lang.tolist())})

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import KeyFilter, materialize, small_batches
+from covergraph.llm._common import KeyFilter, materialize, released, small_batches
 from covergraph.llm.induced_sort import Scratch, suffix_order
 from covergraph.llm.near_dedup import mix64
 
@@ -135,7 +135,7 @@ def _hot(named: DataFrame, length: int) -> np.ndarray:
     """Minimizers of more than a share of all pieces. Each batch names its own frequent ones, which
     holds every one that is frequent in all; the counts are lower bounds, so at most HOT_SHARE remain."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             parts = [m for *_, m in _batch_pieces(batch["text"].tolist(), length, np.zeros(0, np.uint64))]
             keys, times = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             often = times > times.sum() / HOT_SHARE
@@ -152,7 +152,7 @@ def _scan(named: DataFrame, length: int, hot, *, firsts: bool) -> DataFrame:
     columns = "m long, p long, doc long, dk long, start int, size int" + (", n long" if firsts else "")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             texts, doc, dk = batch["text"].tolist(), batch["doc"].to_numpy(), batch["dk"].to_numpy()
             held, rows = [], 0
             for owner, start, size, m in _batch_pieces(texts, length, hot.value):
@@ -184,7 +184,7 @@ def _sort_shards(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
-        for batch in batches:
+        for batch in released(batches):
             cuts = np.append(np.flatnonzero(np.diff(batch["m"].to_numpy())) + 1, len(batch))
             at = 0
             for cut in cuts.tolist():
@@ -291,7 +291,7 @@ def digest(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_c
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, at in batches:
+        for text, at in released(batches):
             rows = []
             for t, spans in zip(text, at):
                 merged = _merge([(x["s"], x["e"]) for x in spans]) if spans is not None else []
@@ -318,7 +318,7 @@ def remove(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_c
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, at in batches:
+        for texts, at in released(batches):
             out = []
             for t, spans in zip(texts, at):
                 if spans is None or t is None:
