@@ -62,7 +62,7 @@ class KeyFilter:
     def __init__(self, keys: DataFrame, column: str, most_bits: int = 1 << 27):
         self.context, n = keys.sparkSession.sparkContext, keys.count()
         self.bits = 1 << min(most_bits.bit_length() - 1, max(10, (8 * n).bit_length()))
-        probe = F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(self.bits)) for k in (1, 2)]))
+        probe = F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k).cast("long")), F.lit(self.bits)) for k in (1, 2)]))
         words = keys.select(probe.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("v")).toArrow()
         self.words = np.zeros(self.bits // 64, dtype=np.int64)
         self.words[words.column("w").to_numpy()] = words.column("v").to_numpy()
@@ -76,7 +76,30 @@ class KeyFilter:
             for a, b in batches:
                 yield pd.Series(_set(shared.value, a.to_numpy()) & _set(shared.value, b.to_numpy()))
 
-        return there(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(self.bits)) for k in (1, 2)])
+        return there(*[F.pmod(F.xxhash64(column, F.lit(k).cast("long")), F.lit(self.bits)) for k in (1, 2)])
+
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """The same test on an array of keys, inside Python code that has them anyway."""
+        places = [(xxhash64(keys, np.full(len(keys), k)) & np.uint64(self.bits - 1)).astype(np.int64) for k in (1, 2)]
+        return _set(self.words, places[0]) & _set(self.words, places[1])
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "words": self.words}
+
+
+def xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(columns[0]), 42, dtype=np.uint64)
+    for c in columns:
+        h = (h + p5 + np.uint64(8)) ^ (turn(np.asarray(c).astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def _set(words: np.ndarray, bits: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import KeyFilter, materialize, released, small_batches
+from covergraph.llm._common import KeyFilter, materialize, released, small_batches, xxhash64
 from covergraph.llm.induced_sort import Scratch, suffix_order
 from covergraph.llm.near_dedup import mix64
 
@@ -147,8 +147,11 @@ def _hot(named: DataFrame, length: int) -> np.ndarray:
     return np.sort(np.array([r.m for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _scan(named: DataFrame, length: int, hot, *, firsts: bool) -> DataFrame:
-    """Pieces (m, p, doc, dk, start, size); with ``firsts`` one row per content and batch: its first holder and n."""
+def _scan(named: DataFrame, length: int, hot, *, firsts: bool, only=None) -> DataFrame:
+    """Pieces (m, p, doc, dk, start, size); with ``firsts`` one row per content and batch: its first holder and n.
+
+    ``only`` is a broadcast filter of xxhash64(m, p).
+    """
     columns = "m long, p long, doc long, dk long, start int, size int" + (", n long" if firsts else "")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,16 +164,18 @@ def _scan(named: DataFrame, length: int, hot, *, firsts: bool) -> DataFrame:
                 held.append((m.view(np.int64), p.view(np.int64), doc[owner], dk[owner], start.astype(np.int32), size.astype(np.int32)))
                 rows += len(owner)
                 if rows > _ROWS:
-                    yield _frame(held, firsts)
+                    yield _frame(held, firsts, only)
                     held, rows = [], 0
             if held:
-                yield _frame(held, firsts)
+                yield _frame(held, firsts, only)
 
     return named.select("doc", "dk", "text").mapInPandas(scan, columns)
 
 
-def _frame(held: list[tuple], firsts: bool) -> pd.DataFrame:
+def _frame(held: list[tuple], firsts: bool, only) -> pd.DataFrame:
     frame = pd.DataFrame(dict(zip(("m", "p", "doc", "dk", "start", "size"), map(np.concatenate, zip(*held)))))
+    if only is not None:
+        frame = frame[only.value.holds(xxhash64(frame["m"].to_numpy(), frame["p"].to_numpy()).view(np.int64))]
     if firsts:
         key = mix64(frame["m"].to_numpy().view(np.uint64) * _ODD[0] + frame["p"].to_numpy().view(np.uint64))
         by = np.lexsort((frame["start"], frame["dk"], frame["doc"]))
@@ -254,7 +259,7 @@ def repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_
     # Later holders of equal contents.
     twice = contents.where("n > 1").select("m", "p", "first")
     seen = KeyFilter(twice.select(F.xxhash64("m", "p").alias("k")), "k")
-    held = _scan(named, length, hot, firsts=False).withColumn("k", F.xxhash64("m", "p")).where(seen.test("k")).drop("k")
+    held = _scan(named, length, hot, firsts=False, only=spark.sparkContext.broadcast(seen))
     copies = held.join(twice, ["m", "p"]).where(F.struct("doc", "dk", "start") != F.col("first")).select("doc", "dk", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
     # First holders of contents that share a minimizer, with their bytes.
     wanted = contents.where("kinds > 1").select("first.doc", "first.dk", F.struct("m", "first.start", "size").alias("w")).groupBy("doc", "dk").agg(F.collect_list("w").alias("w"))
