@@ -46,22 +46,30 @@ _POS_BITS = 24
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-def _kmer_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the KMER bytes from each place on."""
+def kmer_size(length: int) -> int:
+    """Bytes of a minimizer for windows of ``length``: a third of them, in eights, at most KMER."""
+    if length < 8:
+        raise ValueError("length is at least 8")
+    return min(KMER, max(8, length // 24 * 8))
+
+
+def _kmer_hashes(data: np.ndarray, kmer: int) -> np.ndarray:
+    """A 64-bit hash of the kmer bytes from each place on."""
     words = np.empty(len(data) - 7, dtype=np.uint64)
     for k in range(8):
         words[k::8] = data[k : k + (len(data) - k) // 8 * 8].view(np.uint64)
-    n = len(data) - KMER + 1
+    n = len(data) - kmer + 1
     h = words[:n] * _ODD[0]
-    for k in range(8, KMER, 8):
+    for k in range(8, kmer, 8):
         h += words[k : k + n] * _ODD[k // 8]
     return mix64(h)
 
 
 def pieces_of(data: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, start, size) of the pieces of one run of at most 2**_POS_BITS bytes."""
-    w = length - KMER + 1
-    h = _kmer_hashes(data)
+    kmer = kmer_size(length)
+    w = length - kmer + 1
+    h = _kmer_hashes(data, kmer)
     key = (h >> np.uint64(_POS_BITS + 1)) << np.uint64(_POS_BITS) | np.arange(len(h), dtype=np.uint64)
     if len(hot):
         table = np.zeros(1 << 16, dtype=bool)
