@@ -180,7 +180,9 @@ def _sketches(sets: DataFrame) -> DataFrame:
                 size = part["set"].map(len).to_numpy()
                 elem = mix64(np.concatenate(part["set"].tolist()).astype(np.uint32).astype(np.uint64) + _GOLD)
                 signature = prob_minhash(elem, np.ones(len(elem)), np.repeat(np.arange(len(part)), size), len(part), m)
-                bits = np.concatenate([(signature >> np.uint64(17)) & np.uint64(1), (signature >> np.uint64(41)) & np.uint64(1)], axis=1)
+                # A shingle wins many registers of a short text: its bits are drawn anew in each, so that registers differ independently.
+                drawn = mix64(signature ^ mix64(np.arange(1, m + 1, dtype=np.uint64) * _GOLD))
+                bits = np.concatenate([(drawn >> np.uint64(17)) & np.uint64(1), (drawn >> np.uint64(41)) & np.uint64(1)], axis=1)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "sketch": list(np.packbits(bits.astype(bool), axis=1).view(np.int64))})
 
     return sets.mapInPandas(build, "id long, sketch array<long>")

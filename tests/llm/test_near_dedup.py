@@ -70,3 +70,30 @@ def test_large_group_of_copies(spark, plain):
     rows = [(i, text if i % 2 else f"{text} tail{i % 7}", "en", "a", 1) for i in range(400)]
     got = N.near_classes(spark.createDataFrame(rows, plain)).collect()
     assert {r.class_id for r in got} == {0}
+
+
+def test_sketches_keep_short_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, (n, own) in enumerate([(4, (0, 1)), (8, (0, 2)), (8, (1, 1)), (16, (2, 2))] * 250):
+        # The second text has the n shingles of the first, some of them exchanged: Jaccard 0.8.
+        words = rng.integers(-(2**31), 2**31, n + sum(own)).tolist()
+        rows += [(2 * i, words[: n + own[0]]), (2 * i + 1, words[:n] + words[n + own[0] :])]
+    got = {r.id: np.array(r.sketch, dtype=np.int64) for r in N._sketches(spark.createDataFrame(rows, "id long, set array<int>")).collect()}
+    differ = [int(np.bitwise_count((got[2 * i] ^ got[2 * i + 1]).view(np.uint64)).sum()) for i in range(1000)]
+    assert max(differ) <= N.most_different_bits(0.8)
+
+
+def test_short_texts_in_buckets_of_another_leader(spark, plain):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(60):
+        word = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+        base = word(int(rng.integers(8, 31)))
+        # Three alike lead the buckets; a text with another end is not similar to them but has a near copy of its own.
+        texts += [base, [*base, *word(1)], [*base, *word(1)]]
+        other = [*base[: len(base) * 5 // 6], *word(3)]
+        texts += [other, [*other, *word(1)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain)
+    assert {r.doc_id: r.class_id for r in N.near_classes(docs).collect()} == brute(rows)
