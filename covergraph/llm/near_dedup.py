@@ -5,7 +5,8 @@ of shingles of ``SHINGLE`` words (weight: how often it occurs). Every shingle is
 whose rate is its weight; arrivals hit random registers, a register keeps the shingle of its first
 arrival, and a shingle stops as soon as its next arrival is later than all registers of its text.
 Two texts agree in a register with the probability Jaccard of their weighted sets. Registers are
-banded; texts that share a band are candidates. A pair is a link if the Jaccard similarity of its
+banded; texts that share a band are candidates. Texts with repeated shingles also have the bands of
+a signature with weights of 1, so that every pair meets by its distinct shingles too. A pair is a link if the Jaccard similarity of its
 distinct shingles is at least ``threshold``. Classes are the connected components of links.
 
 A bucket of n texts is not turned into n * n pairs. Each bucket has a leader, the member that shares
@@ -138,11 +139,15 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 elem, doc, times = distinct_shingles(texts[s:e])
                 n = np.bincount(doc, minlength=e - s)
                 signature = prob_minhash(elem, times.astype(np.float64), doc, e - s, bands * rows)
-                keys = band_keys(signature, bands, rows)
-                yield pd.DataFrame({
-                    "id": batch["id"].iloc[s:e].to_numpy(), "digest": batch["digest"].iloc[s:e].to_numpy(), "n": n,
-                    "keys": [k if c else [] for k, c in zip(keys, n)],
-                })
+                keys = [k if c else [] for k, c in zip(band_keys(signature, bands, rows), n)]
+                # Links count distinct shingles: a text that repeats some has the bands of its distinct ones as well.
+                again = np.unique(doc[times > 1])
+                if len(again):
+                    some = np.isin(doc, again)
+                    flat = prob_minhash(elem[some], np.ones(int(some.sum())), np.searchsorted(again, doc[some]), len(again), bands * rows)
+                    for i, k in zip(again.tolist(), band_keys(flat, bands, rows)):
+                        keys[i] = np.unique(np.concatenate([keys[i], k]))
+                yield pd.DataFrame({"id": batch["id"].iloc[s:e].to_numpy(), "digest": batch["digest"].iloc[s:e].to_numpy(), "n": n, "keys": keys})
 
     return docs.mapInPandas(sign, "id long, digest string, n long, keys array<long>")
 

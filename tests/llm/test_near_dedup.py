@@ -97,3 +97,14 @@ def test_short_texts_in_buckets_of_another_leader(spark, plain):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain)
     assert {r.doc_id: r.class_id for r in N.near_classes(docs).collect()} == brute(rows)
+
+
+def test_copies_that_repeat_a_line_more_often(spark, plain):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(12):
+        body, line = ([f"u{x}" for x in rng.integers(0, 10**6, n)] for n in (200, 12))
+        rows += [(2 * i, " ".join(body + line * 100)), (2 * i + 1, " ".join(body + line * (5 if i % 2 else 1)))]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain)
+    got = {r.doc_id: r.class_id for r in N.near_classes(docs).collect()}
+    assert got == brute(rows) and len(set(got.values())) < 24
