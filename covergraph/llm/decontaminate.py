@@ -223,38 +223,54 @@ def clean(
 ) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of the texts, together with what
     stands between their words; a document with more than ``max_coverage`` of its words hit is left out.
-    Other documents, null texts among them, stay as they are. All columns are kept.
+    Hits of all shards are judged on the input. Other documents, null texts among them, stay as they
+    are. All columns are kept.
     """
-    schema, cut = docs.schema, small_batches(docs)
+    schema, spans = docs.schema, "_spans"
+    while spans in docs.columns:
+        spans = f"_{spans}"
+    # Every shard judges the input text; what it hits goes along with the row, and the last one cuts.
+    found = small_batches(docs).withColumn(spans, F.expr("CAST(array() AS array<int>)"))
     for automaton in _shards(benchmark, item_col, item_text_col, window, shard_words):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        def scrub(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             machine = shared.value
             for batch in released(batches):
-                keep = np.ones(len(batch), dtype=bool)
-                texts = batch[text_col].tolist()
-                for i, text in enumerate(texts):
-                    if not text:
-                        continue
-                    raw = text.encode()
-                    hit, found = machine.match(words_of(raw))
-                    if not found:
-                        continue
-                    if hit.mean() > max_coverage:
-                        keep[i] = False
-                        continue
-                    places = [m.span() for m in _WORD.finditer(raw)]
-                    out, at = [], 0
-                    for s, e in _runs(hit):
-                        out.append(raw[at : places[s][0]])
-                        at = places[e - 1][1]
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
-                batch[text_col] = pd.Series(texts, index=batch.index, dtype=object)
-                yield batch[keep]
-
-        cut = cut.mapInPandas(scrub, schema)
-    return cut
+                hits = batch[spans].tolist()
+                for i, text in enumerate(batch[text_col]):
+                    if text:
+                        runs = _runs(machine.match(words_of(text.encode()))[0])
+                        hits[i] = [*hits[i], *(x for run in runs for x in run)]
+                batch[spans] = pd.Series(hits, index=batch.index, dtype=object)
+                yield batch
+
+        found = found.mapInPandas(scan, found.schema)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in released(batches):
+            keep = np.ones(len(batch), dtype=bool)
+            texts = batch[text_col].tolist()
+            for i, (text, hits) in enumerate(zip(texts, batch[spans])):
+                if not len(hits):
+                    continue
+                raw = text.encode()
+                places = [m.span() for m in _WORD.finditer(raw)]
+                hit = np.zeros(len(places), dtype=bool)
+                for s, e in zip(hits[::2], hits[1::2]):
+                    hit[s:e] = True
+                if hit.mean() > max_coverage:
+                    keep[i] = False
+                    continue
+                out, at = [], 0
+                for s, e in _runs(hit):
+                    out.append(raw[at : places[s][0]])
+                    at = places[e - 1][1]
+                texts[i] = b"".join([*out, raw[at:]]).decode()
+            batch[text_col] = pd.Series(texts, index=batch.index, dtype=object)
+            yield batch.drop(columns=spans)[keep]
+
+    return found.mapInPandas(cut, schema)
 
 
 _NOT_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

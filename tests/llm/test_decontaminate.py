@@ -67,3 +67,18 @@ def test_empty_tables(spark, odd, plain):
     assert all(not r["items"] for r in D.find(odd, none).collect())
     assert D.clean(odd, none).columns == odd.columns and D.clean(odd, none).count() == 9
     assert D.find(spark.createDataFrame([], plain), none).count() == 0
+
+
+def test_clean_does_not_depend_on_shards(spark, plain):
+    w, x = [f"w{i}" for i in range(40)], [f"x{i}" for i in range(60)]
+    join = " ".join
+    items = [(1, join(w[:15])), (2, join(w[7:22])), (3, join(w[22:34])), (4, join(x[5:10] + x[10:15])), (5, join(x[:5] + x[20:25]))]
+    rows = [
+        (1, join(x + w[:22] + x)), (2, join(w[:15] + x[30:48] + w[22:34])), (3, join(x[:5] + w[22:34] + x[20:40])),
+        (4, join(x[:15] + x[30:60])), (5, join(x[30:60])), (6, None), (7, ""), (1, join(w[22:34] + x[30:60])),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted(((r.doc_id, r.text) for r in D.clean(docs, benchmark, shard_words=n).collect()), key=str) for n in (200_000, 40))
+    assert parts == whole and 2 not in dict(whole) and len(whole) == 7
+    assert not any("w7 " in (t or "") for _, t in parts)
