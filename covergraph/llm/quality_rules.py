@@ -7,8 +7,8 @@ Perplexity. The units are code points (12 bits each, rarer ones folded), so the
 n-grams follows the alphabets and not the corpus. Python emits (language, n-gram, count) per batch,
 Spark adds them up and derives discounts, probabilities and back-off weights of all orders. The
 model is one pair of sorted hash arrays (packed n-grams) and values per language, order and kind.
-Its size is bounded: where an order has more than ``max_entries`` n-grams its count cutoff is
-raised, and the left-out mass goes to the back-off weight. Counts come from all documents that pass
+Its size per language is bounded: where an order of a language has more than ``max_entries`` n-grams
+its count cutoff is raised, and the left-out mass goes to the back-off weight. Counts come from all documents that pass
 the base rule and have few symbols, the reference side of the corpus.
 
 A document is kept if it passes the base rule and its log perplexity lies in its language's band:
@@ -191,12 +191,18 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang").agg(*n).select("lang", *d)
 
 
-def _cutoff(counts: DataFrame, bound: int) -> int:
-    """The least count c so that at most ``bound`` n-grams occur c times or more."""
+def _cutoffs(counts: DataFrame, bound: int) -> dict[str, int]:
+    """Per language the least count c so that at most ``bound`` of its n-grams occur c times or more."""
     step = F.when(F.col("c") < 256, F.col("c")).otherwise(F.pow(F.lit(2), F.floor(F.log2("c"))).cast("long"))
-    bars = sorted(((r.c, r.n) for r in counts.groupBy(step.alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    bars: dict[str, list] = {}
+    for r in counts.groupBy("lang", step.alias("c")).agg(F.count("*").alias("n")).collect():
+        bars.setdefault(r.lang, []).append((r.c, r.n))
+    return {lang: _cutoff(own, bound) for lang, own in bars.items()}
+
+
+def _cutoff(bars: list[tuple[int, int]], bound: int) -> int:
     total, cut = 0, 1
-    for c, n in bars:
+    for c, n in sorted(bars, reverse=True):
         total += n
         if total > bound:
             return cut
@@ -208,11 +214,15 @@ def fit(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeat: int = 30,
     max_symbols: float = 0.02, max_entries: int = 500_000,
 ) -> KneserNey:
-    """The model of all reference documents; at most ``max_entries`` n-grams an order."""
+    """The model of all reference documents; at most ``max_entries`` n-grams an order and language."""
     counts = materialize(count_grams(docs, text_col=text_col, lang_col=lang_col, min_words=min_words, max_repeat=max_repeat, max_symbols=max_symbols), "kn-counts")
     tables: dict[tuple[str, int, str], list] = {}
     for order in range(ORDER, 0, -1):
-        cut = _cutoff(counts, max_entries)
+        # Each language has its own, so that text of one changes no verdict of another.
+        cuts = {k: c for k, c in _cutoffs(counts, max_entries).items() if c > 1}
+        cut = F.lit(1)
+        if cuts:
+            cut = F.coalesce(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])[F.col("lang")], F.lit(1))
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = Window.partitionBy("lang", "context")
         u = (

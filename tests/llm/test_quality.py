@@ -111,3 +111,14 @@ def test_classifier_edges(spark, odd, plain):
     p = odd.withColumn("st", C.statistics(F.col("text"))).select(e.column(F.col("st")).alias("p")).collect()
     assert all(0 <= r.p <= 1 for r in p)
     assert C.fit(spark.createDataFrame([], plain), none).rules == []
+
+
+def test_text_of_one_language_leaves_another_alone(spark, plain):
+    rng = np.random.default_rng(2)
+    few, many = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"], ["".join(rng.choice(list("ijklmnop"), 6)) for _ in range(400)]
+    small = [(i, " ".join(rng.choice(few, 40)), "en", "a", 1) for i in range(60)]
+    more = [(100 + i, " ".join(rng.choice(many, 40)), "fr", "a", 1) for i in range(200)]
+    alone, both = (Q.fit(spark.createDataFrame(rows, plain), max_repeat=100, max_entries=600) for rows in (small, small + more))
+    texts = [r[1] for r in small] + ["omega alpha zz"]
+    assert len(both.tables["fr", 5, "u"][0]) <= 600
+    assert np.array_equal(alone.bits(texts, ["en"] * 61), both.bits(texts, ["en"] * 61))
