@@ -38,7 +38,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: one row per document with how often it is emitted and its source's target."""
+    """The mix's decisions: one row per document with how often it is emitted and its source's target; ``mixing.emit`` makes the rows."""
     return mixing.mix(docs)
 
 

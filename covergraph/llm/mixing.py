@@ -110,6 +110,27 @@ def mix(
     )
 
 
+def emit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` has copies of it, none for 0, with all its columns."""
+    own = "_mix"
+    while any(c.startswith(own) for c in docs.columns):
+        own = f"_{own}"
+    size, number, copies, at = (f"{own}_{k}" for k in ("size", "number", "copies", "at"))
+    # Rows of one id, source and size are numbered on both sides.
+    rows = docs.withColumn(size, word_count(F.col(text_col)))
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(id_col, source_col, size).orderBy(F.xxhash64(text_col))))
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    mixed = mixed.select(
+        F.col(id_col).alias(f"{own}_a"), F.col(source_col).alias(f"{own}_b"), F.col("size").alias(f"{own}_c"), F.col("copies").alias(copies),
+        F.row_number().over(Window.partitionBy(id_col, source_col, "size").orderBy("copies")).alias(f"{own}_d"),
+    ).where(F.col(copies) > 0)
+    same = (
+        F.col(id_col).eqNullSafe(F.col(f"{own}_a")) & F.col(source_col).eqNullSafe(F.col(f"{own}_b"))
+        & (F.col(size) == F.col(f"{own}_c")) & (F.col(number) == F.col(f"{own}_d"))
+    )
+    return rows.join(mixed, same).withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -51,3 +53,17 @@ def test_odd_rows_and_empty_tables(spark, odd, plain):
     assert len(got) == 9 and {r.doc_id: r.size for r in got}[2] == 0 and {r.doc_id: r.size for r in got}[3] == 3
     assert mixing.mix(spark.createDataFrame([], plain)).count() == 0
     assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, None, None, None, None)], plain)).collect()] == [0]
+
+
+def test_emitted_rows_are_the_copies(spark, odd, plain):
+    rows = [(i if i % 9 else None, "w " * (i % 7), "en", ["b", "a", None][i % 3] if i % 2 else "a", i) for i in range(300)] + [(1, "w", "en", "b", 1)] * 4
+    docs = spark.createDataFrame(rows, plain)
+    for table in (docs, odd):
+        want, got = Counter(), Counter()
+        for r in mixing.mix(table).collect():
+            want[r.doc_id, r.source, r.size] += r.copies
+        out = mixing.emit(table)
+        for r in out.collect():
+            got[r.doc_id, r.source, len((r.text or "").replace("\x0b", " ").replace("\x0c", " ").encode().split())] += 1
+        assert out.columns == table.columns and got == +want
+    assert mixing.emit(spark.createDataFrame([], plain)).count() == 0
