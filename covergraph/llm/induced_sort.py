@@ -11,8 +11,9 @@ priority queue. The queue holds buckets of neighbouring characters; only the cur
 order and in memory, other buckets are appended to and spill to scratch files beyond a limit. Tuples
 come out in batches: the longest run whose members cannot be preceded by what they induce. Each
 tuple's common prefix with the one before it is one more than the least common prefix between their
-successors, looked up in a table of range minima that grows with the output. All arrays larger than
-the limit are scratch files mapped to memory, so a text may be far larger than memory.
+successors, looked up in a table of range minima that grows with the output. Arrays made by ``Scratch`` that are
+larger than its limit are files mapped to memory; the text's types, names, ranks and the inputs of the
+minima are plain arrays, so a text has to fit into memory several times over.
 """
 
 from __future__ import annotations

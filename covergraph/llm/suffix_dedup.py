@@ -9,7 +9,8 @@ windows of one minimizer are one piece of text. Pieces of equal content are aggr
 first holder; in all other holders the piece is a repeat. Only pieces that share a minimizer with
 another content can hold further repeated windows. These go to shards by minimizer, and each shard's
 suffixes are sorted with their common prefixes; of suffixes that share ``length`` bytes, all but
-the earliest are repeats.
+the earliest are repeats. Shards are kept small (about ``SHARD_BYTES``, more only where one minimizer's
+contents are), so a shard is joined and sorted in memory as a rule and scratch files are seldom used.
 
 Skew. A k-mer that would be the minimizer of more than about a two-thousandth of all pieces is put
 behind the others (at most 2,000 are, found by counting over all documents), so no common phrase draws
