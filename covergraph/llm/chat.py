@@ -112,11 +112,11 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """What a reader of the output sees: turns and loss text, counted and hashed."""
+    """What a reader of the output sees: turns, counted and hashed, and the text under the loss mask, unescaped."""
     said = F.col("turns")
-    loss = F.array_join(F.transform(F.filter(said, lambda m: m["role"] == "assistant"), lambda m: m["text"]), "")
+    masked = lambda span: unescape(F.substr(F.col("formatted"), (span["start"] + 1).cast("int"), span["length"].cast("int")))
     return (
-        rendered.withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", loss)
+        rendered.withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", F.array_join(F.transform("loss_spans", masked), ""))
         .select(
             "conv_id", F.size("turns").cast("long").alias("n_turns"),
             F.sha2(F.array_join(F.transform(said, lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -40,6 +40,15 @@ def test_round_trip_and_loss_of_hostile_texts(spark):
         assert all(text[s.start - 6 : s.start] == "[RESP]" and text[s.start + s.length :].startswith("[/RESP]") for s in out[i].loss_spans)
 
 
+def test_digests_read_the_loss_mask(spark):
+    rendered = chat.render(chat.fold(chat.conversation_events(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<s>b")], SCHEMA))))
+    right = chat.digests(rendered).first()
+    assert right.loss_chars == 6 and right.loss_sha256 == hashlib.sha256(b"a\\<s>b").hexdigest()
+    for wrong in ("transform(loss_spans, s -> named_struct('start', s.start + 1, 'length', s.length))", "slice(loss_spans, 1, 0)"):
+        got = chat.digests(rendered.selectExpr("conv_id", "n_turns", "formatted", f"{wrong} AS loss_spans")).first()
+        assert got.loss_sha256 != right.loss_sha256 and got.turns_sha256 == right.turns_sha256
+
+
 def test_nulls_repeated_rows_and_empty_tables(spark):
     rows = [(None, 0, "user", "a"), (None, None, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, None, "z")]
     out = formatted(spark, rows)
