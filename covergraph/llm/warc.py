@@ -9,7 +9,11 @@ this id are responses too, as are rows without an id if no row of their payload
 
 Reading. A record becomes rows (record_id, chunk_no, data) of at most ``chunk_bytes`` bytes each;
 the length and SHA-1 of the payload are carried from chunk to chunk and stand on the last one. No
-step holds a whole record. A payload that does not fit its digest is an error.
+step holds a whole record. A payload that does not fit its digest is an error, and so is a record
+that ends before its length.
+
+Skew. Revisits are found by digest, without payloads, so that many copies of one page are light rows;
+the payload of a response is not shuffled.
 
 Nulls: a null payload is an empty one, a null URL is left out. Empty tables give no archive and no
 rows. Only the named columns are read.
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import fresh_path, materialize, small_batches
+from covergraph.llm._common import KeyFilter, fresh_path, materialize, small_batches
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -70,18 +74,23 @@ class _Member:
         return len(out)
 
 
-def _record(sink, record_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str) -> int:
-    view, sha = memoryview(payload), hashlib.sha1()
-    for at in range(0, len(view), _PIECE):
-        sha.update(view[at : at + _PIECE])
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(view)
-    body = len(view) if refers_to is None else 0
+def _record(sink, record_id: str, url: str | None, payload: bytes | None, refers_to: str | None, date: str, known: tuple[int, str] | None = None) -> int:
+    """Writes a record; a revisit needs no payload where its size and SHA-1 (in hex) are ``known``."""
+    view = memoryview(payload or b"")
+    if known is None:
+        sha = hashlib.sha1()
+        for at in range(0, len(view), _PIECE):
+            sha.update(view[at : at + _PIECE])
+        known = len(view), sha.hexdigest()
+    size, hexed = known
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    body = size if refers_to is None else 0
     lines = [
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
         b"WARC-Record-ID: <urn:page:%s>" % record_id.encode(),
         b"WARC-Date: " + date.encode(),
         b"Content-Type: application/http;msgtype=response",
-        b"WARC-Payload-Digest: sha1:" + base32_sha1(sha).encode(),
+        b"WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(hexed)),
         b"Content-Length: %d" % (len(http) + body),
     ]
     if url is not None:
@@ -103,12 +112,22 @@ def write_archives(
     folder = fresh_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("key", F.sha2("payload", 256))
-    same = rows.where(F.length("payload") >= revisit_bytes).groupBy("key").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = rows.join(same, "key", "left").select(
-        F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "url", "payload",
-        F.when(F.col("best").isNotNull() & ~F.col("id").eqNullSafe(F.col("best")), F.col("best").cast("string")).alias("refers_to"),
-    )
+    own = F.coalesce("id", F.lit(-(1 << 63)))
+    rows = rows.withColumn("key", F.sha2("payload", 256)).withColumn("row", F.xxhash64("key", own))
+    # Who refers to whom is told without payloads.
+    meta = materialize(rows.select("id", "url", "key", "row", F.length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha")), "warc-meta")
+    same = meta.where(F.col("size") >= revisit_bytes).groupBy("key").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1 AND best IS NOT NULL").drop("n")
+    again = materialize(meta.join(same, "key").where(~F.col("id").eqNullSafe(F.col("best"))), "warc-revisits")
+    # Responses are written where they lie; only those that the filter takes for revisits are joined.
+    maybe = KeyFilter(again.select("row"), "row")
+    wrong = materialize(meta.where(maybe.test("row")).join(again, ["key", "row"], "left_anti").select("key", "row").distinct(), "warc-wrong")
+    mistaken = KeyFilter(wrong.select("row"), "row")
+    flagged = rows.withColumn("maybe", maybe.test("row"))
+    columns = ["id", "url", "payload", "refers_to", "size", "sha"]
+    plain = lambda df: df.select("id", "url", "payload", *[F.lit(None).cast(t).alias(c) for c, t in zip(columns[3:], ("string", "long", "string"))])
+    known = plain(flagged.where(~F.col("maybe"))).unionByName(plain(rows.where(maybe.test("row")).where(mistaken.test("row")).join(wrong, ["key", "row"], "left_semi")))
+    known = known.unionByName(again.select("id", "url", F.lit(None).cast("binary").alias("payload"), F.col("best").cast("string").alias("refers_to"), "size", "sha"))
+    known = known.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("null")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(folder)
@@ -116,12 +135,12 @@ def write_archives(
         size = records = 0
         done: list[tuple[str, int]] = []
         for batch in batches:
-            for key, url, data, refers in zip(batch["id"], batch["url"], batch["payload"], batch["refers_to"]):
+            for key, url, data, refers, size_, sha in zip(*(batch[c] for c in columns)):
                 if sink is None:
                     fs.create_dir(root, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     sink, size, records = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
-                size += _record(sink, key, url, data, refers, date)
+                size += _record(sink, key, url, data, refers, date, None if refers is None else (int(size_), sha))
                 records += 1
                 if size >= roll_bytes:
                     sink.close()
@@ -144,9 +163,13 @@ def _headers(stream) -> dict[str, str] | None:
     if not first.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
     found = {}
-    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+    while (line := stream.readline()) not in (b"\r\n", b"\n"):
+        if not line.endswith(b"\n"):
+            raise ValueError("a record's head is cut short")
         name, _, value = line.decode("utf-8").partition(":")
         found[name.strip().lower()] = value.strip()
+    if "content-length" not in found or "warc-record-id" not in found or "warc-type" not in found:
+        raise ValueError("a record's head lacks its length, id or type")
     return found
 
 
@@ -161,6 +184,8 @@ def chunks(stream, chunk_bytes: int) -> Iterator[tuple]:
         length = None
         while left:
             line = stream.readline(left)
+            if not line:
+                raise ValueError("a record's HTTP head is cut short")
             left -= len(line)
             if line.lower().startswith(b"content-length:"):
                 length = int(line.partition(b":")[2])
@@ -188,7 +213,8 @@ def chunks(stream, chunk_bytes: int) -> Iterator[tuple]:
                     raise ValueError(f"payload of record {known[0]} does not fit its digest")
                 yield (*known, no, data, True, seen, seen, digest)
             break
-        stream.read(4)
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {known[0]} is cut short")
 
 
 def read_chunks(manifest: DataFrame, *, chunk_bytes: int = 1 << 20, with_data: bool = True) -> DataFrame:
