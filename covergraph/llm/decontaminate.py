@@ -6,13 +6,17 @@ through it while the longest match that ends at each word is tracked. A match of
 and occurs where the whole of it is matched. Before streaming, a NumPy pass leaves out the words
 that no run of item bigrams reaches, where no window can end; this changes no match.
 
-Size: the automaton is broadcast, so items are dealt into shards of at most ``shard_words`` words
-(by the hash of their id) and documents pass over one shard's automaton at a time. A benchmark of
-any size is matched with bounded driver and executor memory; more shards mean more passes.
+Size: one automaton of at most about ``shard_words`` words is broadcast. A larger benchmark is dealt
+into shards by the hash of its items, and read once, as are the documents: a filter of window hashes,
+of bounded size, tells which runs of a document's words may hold a window; each different run goes to the
+shards that have one of its windows, where the shard's automaton decides. Rows carry a key until their
+hits of all shards are put together, so the result is the same. Runs of a shard are dealt over
+several tasks where there are many, and equal runs are matched once, however many documents hold them.
 
 Nulls and empties: a null or empty text has no words; items without words have no window; null item
-ids count as an item named ``null``. Repeated documents are separate rows, repeated items share their
-windows. Empty tables give no rows or no hits. Only the named columns are read.
+ids count as an item named ``null``. Repeated documents and repeated ids are separate rows, repeated
+items share their windows. Texts of any length are streamed whole. Empty tables give no rows or no hits.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,13 +27,18 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import released, small_batches
+from covergraph.llm._common import KeyFilter, materialize, released, small_batches
+from covergraph.llm.near_dedup import mix64
 
 #: Bytes that are no part of a word become spaces, A-Z are lower-cased; bytes of other characters stay.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Different runs of a shard that one task matches.
+_RUNS_A_TASK = 50_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -158,14 +167,16 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_words: int) -> Iterator[SuffixAutomaton]:
-    """Automata of bounded size, one at a time."""
+def _items(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> tuple[DataFrame, int]:
+    """(item, text, shard) and how many shards there are."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = 1 + int(chars // 2 // shard_words)
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield SuffixAutomaton([(r.item, words_of(bytes(r.text))) for r in part.toLocalIterator()], window)
+    return items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
+
+
+def _automaton(items: DataFrame, window: int) -> SuffixAutomaton:
+    return SuffixAutomaton([(r.item, words_of(bytes(r.text))) for r in items.toLocalIterator()], window)
 
 
 def find(
@@ -173,48 +184,111 @@ def find(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """Per document: id, n_words, spans (start and end of maximal hit runs, in words), items (ids as strings, sorted)."""
-    out = "id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+    items, n = _items(benchmark, item_col, item_text_col, shard_words)
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = []
-    for automaton in _shards(benchmark, item_col, item_text_col, window, shard_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    if n > 1:
+        return _routed(source, items, n, window).withColumnRenamed("id", id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(_automaton(items, window))
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = shared.value
-            for batch in released(batches):
-                rows = []
-                for key, text in zip(batch["id"], batch["text"]):
-                    words = words_of(text) if text is not None else []
-                    hit, found = machine.match(words)
-                    runs = _runs(hit) if found else []
-                    rows.append((key, len(words), [a for a, _ in runs], [b for _, b in runs], sorted(found)))
-                frame = pd.DataFrame(rows, columns=["id", "n_words", "starts", "ends", "items"])
-                frame["id"] = frame["id"].astype("Int64")
-                yield frame
-
-        parts.append(source.mapInPandas(scan, out))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    return _merge(parts, id_col)
-
-
-def _merge(parts: list[DataFrame], id_col: str) -> DataFrame:
-    """Results over several shards into one row per document row: overlapping spans become one."""
-    union = parts[0].select("*", F.lit(0).alias("shard"))
-    for k, p in enumerate(parts[1:], 1):
-        union = union.unionByName(p.select("*", F.lit(k).alias("shard")))
-
-    def merged(pairs):
-        step = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["e"] < x["s"]), F.concat(acc, F.array(x))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))))
-        return F.aggregate(pairs, F.expr("CAST(array() AS array<struct<s:int,e:int>>)"), step)
-
-    pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x["starts"].alias("s"), x["ends"].alias("e")))))
-    return (
-        union.groupBy("id", "n_words")
-        .agg(merged(F.array_sort(pairs)).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count_if(F.col("shard") == 0).alias("times"))
-        .select(F.col("id").alias(id_col), "n_words", F.col("m")["s"].alias("starts"), F.col("m")["e"].alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_t")).drop("_t")
-    )
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = shared.value
+        for batch in released(batches):
+            rows = []
+            for key, text in zip(batch["id"], batch["text"]):
+                words = words_of(text) if text is not None else []
+                hit, found = machine.match(words)
+                runs = _runs(hit) if found else []
+                rows.append((key, len(words), [a for a, _ in runs], [b for _, b in runs], sorted(found)))
+            frame = pd.DataFrame(rows, columns=["id", "n_words", "starts", "ends", "items"])
+            frame["id"] = frame["id"].astype("Int64")
+            yield frame
+
+    return source.mapInPandas(scan, "id long, n_words long, starts array<int>, ends array<int>, items array<string>").withColumnRenamed("id", id_col)
+
+
+def _window_hashes(words: list[bytes], sizes: set[int]) -> dict[int, np.ndarray]:
+    """Per size, the hash of the window that starts at each word."""
+    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    out, h = {}, np.zeros(len(words), np.uint64)
+    for k in range(max(sizes, default=0)):
+        h = mix64(h[: len(words) - k] * np.uint64(0x9E3779B97F4A7C15) + own[k:] + np.uint64(k + 1))
+        if k + 1 in sizes:
+            out[k + 1] = h
+    return out
+
+
+def _routed(source: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """``find`` for many shards, in one pass over documents and benchmark."""
+    spark = source.sparkSession
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in released(batches):
+            for shard, text in zip(batch["shard"], batch["text"]):
+                words = words_of(text)
+                size = min(window, len(words))
+                if size:
+                    h = np.unique(_window_hashes(words, {size})[size]).view(np.int64)
+                    yield pd.DataFrame({"h": h, "size": size, "shard": shard})
+
+    windows = materialize(items.mapInPandas(cut, "h long, size int, shard int").distinct(), "leak-windows")
+    # There are at most ``window`` sizes.
+    sizes = {r.size for r in windows.select("size").distinct().collect()}
+    maybe = spark.sparkContext.broadcast(KeyFilter(windows.select("h").distinct(), "h"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = TaskContext.get().partitionId() << 36
+        for batch in released(batches):
+            rows = []
+            for doc, text in zip(batch["id"], batch["text"]):
+                words, runs = words_of(text) if text is not None else [], []
+                edge, found = np.zeros(len(words) + 1, np.int64), []
+                for size, h in _window_hashes(words, sizes).items():
+                    at = np.flatnonzero(maybe.value.holds(h.view(np.int64)))
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + size, -1)
+                    found.append((at, h[at]))
+                if found:
+                    at, h = (np.concatenate(x) for x in zip(*found))
+                    for s, e in _runs(np.cumsum(edge)[:-1] > 0):
+                        runs.append((s, b" ".join(words[s:e]), np.unique(h[(at >= s) & (at < e)]).view(np.int64).tolist()))
+                rows.append((key, doc, len(words), runs))
+                key += 1
+            frame = pd.DataFrame(rows, columns=["key", "id", "n_words", "runs"])
+            frame["id"] = frame["id"].astype("Int64")
+            frame["runs"] = [[{"s": s, "words": w, "h": h} for s, w, h in r] for r in frame["runs"]]
+            yield frame
+
+    scanned = materialize(source.mapInPandas(scan, "key long, id long, n_words long, runs array<struct<s:int,words:binary,h:array<long>>>"), "leak-scanned")
+    runs = scanned.select("key", F.explode("runs").alias("r")).select("key", "r.s", F.sha2("r.words", 256).alias("run"), "r.words", "r.h")
+    # Equal runs are matched once, by the shards that have one of their windows.
+    different = materialize(runs.groupBy("run").agg(F.first("words").alias("words"), F.first("h").alias("h")), "leak-runs")
+    sent = different.select("run", F.explode("h").alias("h")).join(windows.select("h", "shard"), "h").select("run", "shard").distinct()
+    sent = materialize(sent.join(different.select("run", "words"), "run"), "leak-sent")
+    salts = sent.groupBy("shard").agg(F.ceil(F.count("*") / _RUNS_A_TASK).cast("int").alias("salts"))
+    dealt = sent.join(salts, "shard").select("shard", F.pmod(F.xxhash64("run"), F.col("salts")).cast("int").alias("salt"), "run", "words")
+    copies = items.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "item", "text")
+
+    def match(own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        machine, rows = SuffixAutomaton([(i, words_of(t)) for i, t in zip(own["item"], own["text"])], window), []
+        for run, words in zip(some["run"], some["words"]):
+            hit, found = machine.match(words.split(b" "))
+            if found:
+                rows.append((run, [{"s": a, "e": b} for a, b in _runs(hit)], sorted(found)))
+        return pd.DataFrame(rows, columns=["run", "spans", "items"])
+
+    hits = materialize(copies.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInPandas(match, "run string, spans array<struct<s:int,e:int>>, items array<string>"), "leak-hits")
+    placed = runs.select("key", "s", "run").join(hits, "run").select("key", "items", F.transform("spans", lambda x: F.struct((x["s"] + F.col("s")).alias("s"), (x["e"] + F.col("s")).alias("e"))).alias("spans"))
+    merged = placed.groupBy("key").agg(_merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = lambda c, t: F.coalesce(F.col(c), F.expr(f"CAST(array() AS array<{t}>)"))
+    return scanned.select("key", "id", "n_words").join(merged.select("key", F.col("m")["s"].alias("starts"), F.col("m")["e"].alias("ends"), "items"), "key", "left").select(
+        "id", "n_words", none("starts", "int").alias("starts"), none("ends", "int").alias("ends"), none("items", "string").alias("items"))
+
+
+def _merged(pairs):
+    """Sorted spans, those that overlap or touch as one."""
+    step = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["e"] < x["s"]), F.concat(acc, F.array(x))).otherwise(
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))))
+    return F.aggregate(pairs, F.expr("CAST(array() AS array<struct<s:int,e:int>>)"), step)
 
 
 def clean(
@@ -223,54 +297,57 @@ def clean(
 ) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of the texts, together with what
     stands between their words; a document with more than ``max_coverage`` of its words hit is left out.
-    Hits of all shards are judged on the input. Other documents, null texts among them, stay as they
+    Hits are judged on the input, all shards together. Other documents, null texts among them, stay as they
     are. All columns are kept.
     """
-    schema, spans = docs.schema, "_spans"
-    while spans in docs.columns:
-        spans = f"_{spans}"
-    # Every shard judges the input text; what it hits goes along with the row, and the last one cuts.
-    found = small_batches(docs).withColumn(spans, F.expr("CAST(array() AS array<int>)"))
-    for automaton in _shards(benchmark, item_col, item_text_col, window, shard_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = shared.value
+    schema = docs.schema
+    items, n = _items(benchmark, item_col, item_text_col, shard_words)
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(_automaton(items, window))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in released(batches):
-                hits = batch[spans].tolist()
-                for i, text in enumerate(batch[text_col]):
-                    if text:
-                        runs = _runs(machine.match(words_of(text.encode()))[0])
-                        hits[i] = [*hits[i], *(x for run in runs for x in run)]
-                batch[spans] = pd.Series(hits, index=batch.index, dtype=object)
-                yield batch
+                texts = batch[text_col].tolist()
+                yield _cut(batch, text_col, [_runs(shared.value.match(words_of(t.encode()))[0]) if t else [] for t in texts], max_coverage)
 
-        found = found.mapInPandas(scan, found.schema)
+        return small_batches(docs).mapInPandas(scan, schema)
+    key, starts, ends = (_unused(docs, c) for c in ("_row", "_starts", "_ends"))
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "leak-keyed")
+    found = find(keyed, benchmark, window=window, shard_words=shard_words, id_col=key, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
+    hit = found.where(F.size("starts") > 0).select(key, F.col("starts").alias(starts), F.col("ends").alias(ends))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in released(batches):
-            keep = np.ones(len(batch), dtype=bool)
-            texts = batch[text_col].tolist()
-            for i, (text, hits) in enumerate(zip(texts, batch[spans])):
-                if not len(hits):
-                    continue
-                raw = text.encode()
-                places = [m.span() for m in _WORD.finditer(raw)]
-                hit = np.zeros(len(places), dtype=bool)
-                for s, e in zip(hits[::2], hits[1::2]):
-                    hit[s:e] = True
-                if hit.mean() > max_coverage:
-                    keep[i] = False
-                    continue
-                out, at = [], 0
-                for s, e in _runs(hit):
-                    out.append(raw[at : places[s][0]])
-                    at = places[e - 1][1]
-                texts[i] = b"".join([*out, raw[at:]]).decode()
-            batch[text_col] = pd.Series(texts, index=batch.index, dtype=object)
-            yield batch.drop(columns=spans)[keep]
-
-    return found.mapInPandas(cut, schema)
+            runs = [list(zip(a, b)) if a is not None else [] for a, b in zip(batch[starts], batch[ends])]
+            yield _cut(batch, text_col, runs, max_coverage)[[f.name for f in schema]]
+
+    return small_batches(keyed).join(hit, key, "left").mapInPandas(cut, schema)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _cut(batch: pd.DataFrame, text_col: str, runs: list[list[tuple[int, int]]], max_coverage: float) -> pd.DataFrame:
+    """The batch with hit runs of words cut out of its texts, without rows that are mostly hit."""
+    keep, texts = np.ones(len(batch), dtype=bool), batch[text_col].tolist()
+    for i, (text, own) in enumerate(zip(texts, runs)):
+        if not own:
+            continue
+        raw = text.encode()
+        places = [m.span() for m in _WORD.finditer(raw)]
+        if sum(e - s for s, e in own) > max_coverage * len(places):
+            keep[i] = False
+            continue
+        out, at = [], 0
+        for s, e in own:
+            out.append(raw[at : places[s][0]])
+            at = places[e - 1][1]
+        texts[i] = b"".join([*out, raw[at:]]).decode()
+    batch[text_col] = pd.Series(texts, index=batch.index, dtype=object)
+    return batch[keep]
 
 
 _NOT_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -82,3 +82,29 @@ def test_clean_does_not_depend_on_shards(spark, plain):
     whole, parts = (sorted(((r.doc_id, r.text) for r in D.clean(docs, benchmark, shard_words=n).collect()), key=str) for n in (200_000, 40))
     assert parts == whole and 2 not in dict(whole) and len(whole) == 7
     assert not any("w7 " in (t or "") for _, t in parts)
+
+
+def test_rows_of_one_id_stay_apart(spark, plain):
+    items = spark.createDataFrame([(1, "one"), (2, "two"), (3, "red green blue")], "item_id long, text string")
+    rows = [(None, "one"), (None, "two"), (None, "six"), (7, "a one"), (7, "two b"), (7, "two b"), (8, "red green red green blue green"), (8, "blue green red two blue one")]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain)
+    for n in (200_000, 1):
+        got = sorted(((r.doc_id, r.n_words, list(zip(r.starts, r.ends)), list(r["items"])) for r in D.find(docs, items, shard_words=n).collect()), key=str)
+        want = [
+            (None, 1, [(0, 1)], ["1"]), (None, 1, [(0, 1)], ["2"]), (None, 1, [], []), (7, 2, [(1, 2)], ["1"]), (7, 2, [(0, 1)], ["2"]), (7, 2, [(0, 1)], ["2"]),
+            (8, 6, [(2, 5)], ["3"]), (8, 6, [(3, 4), (5, 6)], ["1", "2"]),
+        ]
+        assert got == sorted(want, key=str)
+
+
+def test_many_runs_and_a_full_filter(spark, plain, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, text(rng.randrange(1, 9))) for i in range(12)]
+    rows = [(i, text(rng.randrange(40)) if i % 3 else items[0][1]) for i in range(60)]
+    docs, benchmark = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "_RUNS_A_TASK", 3)
+    init = D.KeyFilter.__init__
+    monkeypatch.setattr(D.KeyFilter, "__init__", lambda self, keys, column: init(self, keys, column, most_bits=64))
+    got = {r.doc_id: ([i for s, e in zip(r.starts, r.ends) for i in range(s, e)], set(r["items"])) for r in D.find(docs, benchmark, window=4, shard_words=5).collect()}
+    assert got == {k: brute(words(t), items, 4) for k, t in rows}
