@@ -17,7 +17,8 @@ and whose signature sketches do not differ far more than chance explains at the
 
 Nulls and empties: a null text and a text without words have no shingles; equal ones are exact
 copies (null texts are copies of each other). A text with fewer words than a shingle is one shingle.
-Null ids are left as classes of their own. Rows that share an id count as one document. An empty
+Null ids are left as classes of their own. Different texts under one id are different documents, which
+may have different classes; equal rows are one document. Texts of any length are read whole. An empty
 table gives no rows. Only the named columns are read.
 """
 
@@ -199,24 +200,38 @@ def most_different_bits(threshold: float, sigmas: float = 4.5) -> int:
     return int(np.ceil(m * miss + sigmas * np.sqrt(m * (1.5 * miss - miss * miss))))
 
 
-def near_classes(
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document row: id, copy_of (smallest id of its exact copies), class_id (smallest id of its class)."""
+    return _classes(docs, id_col=id_col, **options).select(F.col("id").alias(id_col), "copy_of", F.col("first.copy_of").alias("class_id"))
+
+
+def _digest(text: Column) -> Column:
+    return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null"))
+
+
+def _classes(
     docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per document row: id, copy_of (smallest id of its exact copies), class_id (smallest id of its class)."""
+    """(id, digest, copy_of, first: the smallest (copy_of, digest) of the class) of every row."""
     text = F.col(text_col)
-    named = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null")).alias("digest"), text.cast("binary").alias("text"))
+    named = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), _digest(text).alias("digest"), text.cast("binary").alias("text"))
     known = named.where("id IS NOT NULL")
     signed = materialize(_signed(known, bands, rows), "near-signed")
     # Only the smallest id of a text stands for it in the buckets.
-    first = materialize(signed.groupBy("digest").agg(F.min_by(F.struct("n", "keys"), "id").alias("f"), F.min("id").alias("copy_of")).select("digest", "copy_of", "f.*"), "near-first")
-    entries = first.select(F.col("copy_of").alias("id"), F.explode("keys").alias("bucket")).distinct()
+    first = signed.groupBy("digest").agg(F.min_by(F.struct("n", "keys"), "id").alias("f"), F.min("id").alias("copy_of")).select("digest", "copy_of", "f.*")
+    # Texts have numbers of their own, as an id may have several texts; from here on these are the ids.
+    first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "near-first")
+    entries = first.select(F.col("node").alias("id"), F.explode("keys").alias("bucket")).distinct()
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(entries.join(sizes, "bucket"), "near-members")
     # A text in many large buckets is in the middle of its group; it leads those buckets.
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    about = materialize(first.select(F.col("copy_of").alias("id"), "n", "keys").join(weight, "id").dropDuplicates(["id"]), "near-about")
-    needed = KeyFilter(about.select("id"), "id")
-    sets = materialize(_sets(known.where(needed.test("id")).join(about.select("id"), "id", "left_semi").dropDuplicates(["id", "digest"])), "near-sets")
+    about = materialize(first.select(F.col("node").alias("id"), "copy_of", "digest", "n", "keys").join(weight, "id"), "near-about")
+    row = F.xxhash64("id", "digest")
+    holders = about.select(F.col("copy_of").alias("id"), "digest", F.col("id").alias("node"))
+    needed = KeyFilter(holders.select(row.alias("row")), "row")
+    held = known.withColumn("row", row).where(needed.test("row")).join(holders, ["id", "digest"]).dropDuplicates(["node"])
+    sets = materialize(_sets(held.select(F.col("node").alias("id"), "text")), "near-sets")
     sized = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
     weighed = members.select("bucket", "id").join(about.select("id", "n", "weight"), "id")
@@ -253,21 +268,28 @@ def near_classes(
     if not more.isEmpty():
         # Components so far are stars of their smallest member.
         components = connected_components(more.unionByName(components.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))))
-    classes = first.select("digest", "copy_of").join(components.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
-    out = signed.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_col), "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
-    nulls = named.where("id IS NULL").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"))
+    name = F.struct("copy_of", "digest")
+    joined = components.select("node", "component").join(first.select("node", "copy_of", "digest"), "node")
+    label = joined.groupBy("component").agg(F.min(name).alias("label"))
+    labelled = components.select("node", "component").join(label, "component").select("node", "label")
+    classes = first.select("node", "digest", "copy_of").join(labelled, "node", "left").select("digest", "copy_of", F.coalesce("label", name).alias("first"))
+    out = signed.select("id", "digest").join(classes, "digest").select("id", "digest", "copy_of", "first")
+    nulls = named.where("id IS NULL").select("id", "digest", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("struct<copy_of:bigint,digest:string>").alias("first"))
     return out.unionByName(nulls)
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id, in one row. Rows without an id stay."""
-    classes = near_classes(docs, id_col=id_col, **options)
-    gone = materialize(classes.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "near-gone")
-    twice = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "near-twice")
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each class: the one with the smallest id, of several texts under it that
+    with the smallest digest, in one row. Rows without an id stay."""
+    classes = materialize(_classes(docs, id_col=id_col, text_col=text_col, **options).where("id IS NOT NULL"), "near-classes")
+    gone = materialize(classes.where(F.struct(F.col("id").alias("copy_of"), "digest") != F.col("first")).select("id", "digest").distinct(), "near-gone")
+    twice = classes.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest")
     # Only rows that may have to go are shuffled; the others pass as they are.
-    key, flag = "_id", "_flag"
-    while key in docs.columns or flag in docs.columns:
-        key, flag = f"_{key}", f"_{flag}"
-    flagged = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(flag, F.col(key).isNotNull() & KeyFilter(gone.unionByName(twice).distinct(), "id").test(key))
-    some = flagged.where(F.col(flag)).join(gone.withColumnRenamed("id", key), key, "left_anti")
-    return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(some.dropDuplicates([key]).select(*docs.columns))
+    key, digest, flag = "_id", "_digest", "_flag"
+    while {key, digest, flag} & set(docs.columns):
+        key, digest, flag = f"_{key}", f"_{digest}", f"_{flag}"
+    known = KeyFilter(gone.unionByName(twice).select(F.xxhash64("id", "digest").alias("row")).distinct(), "row")
+    flagged = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(digest, _digest(F.col(text_col)))
+    flagged = flagged.withColumn(flag, F.col(key).isNotNull() & known.test(F.xxhash64(key, digest)))
+    some = flagged.where(F.col(flag)).join(gone.select(F.col("id").alias(key), F.col("digest").alias(digest)), [key, digest], "left_anti")
+    return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(some.dropDuplicates([key, digest]).select(*docs.columns))

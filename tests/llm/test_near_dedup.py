@@ -108,3 +108,14 @@ def test_copies_that_repeat_a_line_more_often(spark, plain):
     docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain)
     got = {r.doc_id: r.class_id for r in N.near_classes(docs).collect()}
     assert got == brute(rows) and len(set(got.values())) < 24
+
+
+def test_texts_under_one_id_stay_apart(spark, plain):
+    base = [f"w{i}" for i in range(60)]
+    join = " ".join
+    rows = [(1, join(base)), (1, "quite another text than the first one"), (2, join([*base, "x"])), (2, "quite another text than the first one"), (3, join(base[:58])), (3, join(base[:58])), (3, join([*base[:58], "y"]))]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], plain)
+    assert sorted((r.doc_id, r.copy_of, r.class_id) for r in N.near_classes(docs).collect()) == sorted([(1, 1, 1), (1, 1, 1), (2, 2, 1), (2, 1, 1), (3, 3, 1), (3, 3, 1), (3, 3, 1)])
+    assert sorted((r.doc_id, r.text) for r in N.keep_first(docs).collect()) == sorted(rows[:2])
+    alone = spark.createDataFrame([(4, join(base), "en", "a", 1), (4, join([*base, "z"]), "en", "a", 1)], plain)
+    assert N.keep_first(alone).count() == 1
