@@ -6,15 +6,17 @@ is removed; the strings are judged on the input.
 Dealing. Each window of ``length`` bytes belongs to its minimizer, the ``KMER``-byte string in it
 with the least hash (the first of equals), so equal windows meet under one minimizer. Neighbouring
 windows of one minimizer are one piece of text. Pieces of equal content are aggregated to their
-first holder; in all other holders the piece is a repeat. Only pieces that share a minimizer with
-another content can hold further repeated windows. These go to shards by minimizer, and each shard's
+first holder; in all other holders the piece is a repeat. Pieces of different contents can only share
+a window if they share their minimizer and, as a window has at least ``length - KMER`` bytes beside it, half
+of those bytes before it or after it. Pieces that do go to shards by minimizer, and each shard's
 suffixes are sorted with their common prefixes; of suffixes that share ``length`` bytes, all but
 the earliest are repeats. Shards are kept small (about ``SHARD_BYTES``, more only where one minimizer's
 contents are), so a shard is joined and sorted in memory as a rule and scratch files are seldom used.
 
 Skew. A k-mer that would be the minimizer of more than about a two-thousandth of all pieces is put
 behind the others (at most 2,000 are, found by counting over all documents), so no common phrase draws
-its many contexts into one shard. Contents are aggregated before they are shuffled.
+its many contexts into one shard. The contents of a minimizer that come to more than ``LARGE_BYTES`` are
+dealt again by the minimizers of another hash. Contents are aggregated before they are shuffled.
 
 Nulls and ties: a null text is empty and nothing is removed from it; null ids come first. Rows that
 share an id are ordered by a digest of their text; equal rows are one document and are treated alike.
@@ -40,6 +42,8 @@ KMER = 32
 HOT_SHARE = 2000
 #: Pieces of a minimizer stay together; shards are cut at minimizers after about this many bytes.
 SHARD_BYTES = 1 << 20
+#: A minimizer whose contents are larger is dealt again.
+LARGE_BYTES = 8 << 20
 #: Bytes taken at a time; small enough for the temporaries to stay in the processor cache.
 _SEGMENT = 1 << 16
 _ROWS = 100_000
@@ -54,7 +58,7 @@ def kmer_size(length: int) -> int:
     return min(KMER, max(8, length // 24 * 8))
 
 
-def _kmer_hashes(data: np.ndarray, kmer: int) -> np.ndarray:
+def _kmer_hashes(data: np.ndarray, kmer: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the kmer bytes from each place on."""
     words = np.empty(len(data) - 7, dtype=np.uint64)
     for k in range(8):
@@ -63,14 +67,14 @@ def _kmer_hashes(data: np.ndarray, kmer: int) -> np.ndarray:
     h = words[:n] * _ODD[0]
     for k in range(8, kmer, 8):
         h += words[k : k + n] * _ODD[k // 8]
-    return mix64(h)
+    return mix64(h ^ np.uint64(seed))
 
 
-def pieces_of(data: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, start, size) of the pieces of one run of at most 2**_POS_BITS bytes."""
+def pieces_of(data: np.ndarray, length: int, hot: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, its place, start, size) of the pieces of one run of at most 2**_POS_BITS bytes."""
     kmer = kmer_size(length)
     w = length - kmer + 1
-    h = _kmer_hashes(data, kmer)
+    h = _kmer_hashes(data, kmer, seed)
     key = (h >> np.uint64(_POS_BITS + 1)) << np.uint64(_POS_BITS) | np.arange(len(h), dtype=np.uint64)
     if len(hot):
         table = np.zeros(1 << 16, dtype=bool)
@@ -88,18 +92,18 @@ def pieces_of(data: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarra
     place = (least & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64)
     start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     size = np.diff(np.append(start, n)) + length - 1
-    return h[place[start]], start, size
+    return h[place[start]], place[start], start, size
 
 
 def _batch_pieces(texts: list[bytes], length: int, hot: np.ndarray):
-    """(text index, start, size, minimizer) of all pieces of some texts; short texts are taken together."""
+    """(text index, start, size, minimizer, its place in the piece) of all pieces of some texts; short texts are taken together."""
     held, places, total = [], [], 0
 
     def flush():
         if not held:
             return
         data = np.frombuffer(b"".join(held), dtype=np.uint8)
-        m, start, size = pieces_of(data, length, hot)
+        m, place, start, size = pieces_of(data, length, hot)
         # Cut pieces at the ends of texts and leave out what crosses them.
         begin = np.array([p[2] for p in places])
         owner = np.searchsorted(begin, start, side="right") - 1
@@ -119,7 +123,7 @@ def _batch_pieces(texts: list[bytes], length: int, hot: np.ndarray):
             e = np.minimum(start[o] + size[o], end)
             good = e - s >= length
             own, s, e = own[good], s[good], e[good]
-            yield np.array([p[0] for p in places])[own], s - lo[good] + np.array([p[1] for p in places])[own], e - s, m[o[good]]
+            yield np.array([p[0] for p in places])[own], s - lo[good] + np.array([p[1] for p in places])[own], e - s, m[o[good]], place[o[good]] - s
 
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), _SEGMENT):
@@ -145,7 +149,7 @@ def _hot(named: DataFrame, length: int) -> np.ndarray:
     holds every one that is frequent in all; the counts are lower bounds, so at most HOT_SHARE remain."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in released(batches):
-            parts = [m for *_, m in _batch_pieces(batch["text"].tolist(), length, np.zeros(0, np.uint64))]
+            parts = [m for *_, m, _ in _batch_pieces(batch["text"].tolist(), length, np.zeros(0, np.uint64))]
             keys, times = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             often = times > times.sum() / HOT_SHARE
             yield pd.DataFrame({"m": np.append(keys[often].view(np.int64), 0), "c": np.append(times[often], 0), "total": np.append(np.zeros(int(often.sum()), np.int64), times.sum())})
@@ -157,20 +161,31 @@ def _hot(named: DataFrame, length: int) -> np.ndarray:
 
 
 def _scan(named: DataFrame, length: int, hot, *, firsts: bool, only=None) -> DataFrame:
-    """Pieces (m, p, doc, dk, start, size); with ``firsts`` one row per content and batch: its first holder and n.
+    """Pieces (m, p, doc, dk, start, size); with ``firsts`` one row per content and batch: its first holder, n, and
+    hashes of the minimizer with the bytes before it and after it that a shared window may need.
 
     ``only`` is a broadcast filter of xxhash64(m, p).
     """
-    columns = "m long, p long, doc long, dk long, start int, size int" + (", n long" if firsts else "")
+    columns = "m long, p long, doc long, dk long, start int, size int" + (", before long, after long, n long" if firsts else "")
+    kmer = kmer_size(length)
+    beside = -(-(length - kmer) // 2)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in released(batches):
             texts, doc, dk = batch["text"].tolist(), batch["doc"].to_numpy(), batch["dk"].to_numpy()
             held, rows = [], 0
-            for owner, start, size, m in _batch_pieces(texts, length, hot.value):
+            for owner, start, size, m, at in _batch_pieces(texts, length, hot.value):
                 digest_ = xxhash.xxh3_64_intdigest
-                p = np.fromiter((digest_(texts[o][s:e]) for o, s, e in zip(owner.tolist(), start.tolist(), (start + size).tolist())), dtype=np.uint64, count=len(owner))
-                held.append((m.view(np.int64), p.view(np.int64), doc[owner], dk[owner], start.astype(np.int32), size.astype(np.int32)))
+                own, ends = owner.tolist(), (start + size).tolist()
+                p = np.fromiter((digest_(texts[o][s:e]) for o, s, e in zip(own, start.tolist(), ends)), dtype=np.uint64, count=len(owner))
+                sides = []
+                if firsts:
+                    places = (start + at).tolist()
+                    # 0 where the piece has fewer bytes on that side.
+                    before = (digest_(texts[o][k - beside : k + kmer], 1) if k - s >= beside else 0 for o, k, s in zip(own, places, start.tolist()))
+                    after = (digest_(texts[o][k : k + kmer + beside], 2) if e - k - kmer >= beside else 0 for o, k, e in zip(own, places, ends))
+                    sides = [np.fromiter(x, dtype=np.uint64, count=len(owner)).view(np.int64) for x in (before, after)]
+                held.append((m.view(np.int64), p.view(np.int64), doc[owner], dk[owner], start.astype(np.int32), size.astype(np.int32), *sides))
                 rows += len(owner)
                 if rows > _ROWS:
                     yield _frame(held, firsts, only)
@@ -182,7 +197,7 @@ def _scan(named: DataFrame, length: int, hot, *, firsts: bool, only=None) -> Dat
 
 
 def _frame(held: list[tuple], firsts: bool, only) -> pd.DataFrame:
-    frame = pd.DataFrame(dict(zip(("m", "p", "doc", "dk", "start", "size"), map(np.concatenate, zip(*held)))))
+    frame = pd.DataFrame(dict(zip(("m", "p", "doc", "dk", "start", "size", "before", "after"), map(np.concatenate, zip(*held)))))
     if only is not None:
         frame = frame[only.value.holds(xxhash64(frame["m"].to_numpy(), frame["p"].to_numpy()).view(np.int64))]
     if firsts:
@@ -258,11 +273,12 @@ def repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_
     named = _named(docs, id_col, text_col)
     hot = spark.sparkContext.broadcast(_hot(named, length))
     holder = F.struct("doc", "dk", "start")
+    others = lambda side: (F.col(side) != 0) & (F.count("*").over(Window.partitionBy("m", side)) > 1)
     contents = (
         _scan(named, length, hot, firsts=True).repartition("m").groupBy("m", "p")
-        .agg(F.min(holder).alias("first"), F.first("size").alias("size"), F.sum("n").alias("n"))
-        .withColumn("kinds", F.count("*").over(Window.partitionBy("m")))
-        .where("n > 1 OR kinds > 1")
+        .agg(F.min(holder).alias("first"), F.first("size").alias("size"), F.first("before").alias("before"), F.first("after").alias("after"), F.sum("n").alias("n"))
+        .withColumn("beside", others("before")).withColumn("beside", F.col("beside") | others("after"))
+        .where("n > 1 OR beside").drop("before", "after")
     )
     contents = materialize(contents, "suffix-contents")
     # Later holders of equal contents.
@@ -270,13 +286,34 @@ def repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_
     seen = KeyFilter(twice.select(F.xxhash64("m", "p").alias("k")), "k")
     held = _scan(named, length, hot, firsts=False, only=spark.sparkContext.broadcast(seen))
     copies = held.join(twice, ["m", "p"]).where(F.struct("doc", "dk", "start") != F.col("first")).select("doc", "dk", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-    # First holders of contents that share a minimizer, with their bytes.
-    wanted = contents.where("kinds > 1").select("first.doc", "first.dk", F.struct("m", "first.start", "size").alias("w")).groupBy("doc", "dk").agg(F.collect_list("w").alias("w"))
+    # First holders of contents that may share windows with another one, with their bytes.
+    kinds = contents.where("beside")
+    large = materialize(kinds.groupBy("m").agg(F.sum(F.col("size").cast("long")).alias("bytes")).where(F.col("bytes") > LARGE_BYTES).select("m", F.lit(True).alias("large")), "suffix-large")
+    many = not large.isEmpty()
+    kinds = kinds.join(large, "m", "left") if many else kinds.withColumn("large", F.lit(None).cast("boolean"))
+    wanted = kinds.select("first.doc", "first.dk", F.struct("m", "first.start", "size", "large").alias("w")).groupBy("doc", "dk").agg(F.collect_list("w").alias("w"))
     wanted = materialize(wanted, "suffix-wanted")
     holds = KeyFilter(wanted.select("dk"), "dk")
     texts = named.where(holds.test("dk")).join(wanted, ["doc", "dk"]).dropDuplicates(["doc", "dk"])
-    data = texts.select("doc", "dk", "text", F.explode("w").alias("w")).select("doc", "dk", "w.m", "w.start", F.substring("text", F.col("w.start") + 1, F.col("w.size")).alias("data"))
-    return copies.unionByName(_sort_shards(data, length))
+    data = texts.select("doc", "dk", "text", F.explode("w").alias("w")).select("doc", "dk", "w.m", "w.start", F.substring("text", F.col("w.start") + 1, F.col("w.size")).alias("data"), "w.large")
+    return copies.unionByName(_sort_shards(_dealt_again(data, length) if many else data.drop("large"), length))
+
+
+def _dealt_again(data: DataFrame, length: int) -> DataFrame:
+    """Pieces (m, doc, dk, start, data); those that are ``large`` are cut into pieces by the minimizers of another hash."""
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in released(batches):
+            rows = []
+            for m, doc, dk, start, piece, large in zip(*(batch[c].tolist() for c in ("m", "doc", "dk", "start", "data", "large"))):
+                if not large:
+                    rows.append((m, doc, dk, start, piece))
+                    continue
+                again, _, s, size = pieces_of(np.frombuffer(piece, dtype=np.uint8), length, np.zeros(0, np.uint64), int(_ODD[1]))
+                both = mix64(again * _ODD[2] + np.int64(m).astype(np.uint64)).view(np.int64)
+                rows += [(k, doc, dk, start + a, piece[a : a + n]) for k, a, n in zip(both.tolist(), s.tolist(), size.tolist())]
+            yield pd.DataFrame(rows, columns=["m", "doc", "dk", "start", "data"])
+
+    return data.mapInPandas(deal, "m long, doc long, dk long, start int, data binary")
 
 
 def _merge(pairs: list) -> list[tuple[int, int]]:

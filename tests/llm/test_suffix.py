@@ -63,8 +63,11 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed,letters,segment,shard,hot", [(0, "ab", 1 << 16, 1 << 20, 2000), (1, "abcdefgh", 200, 300, 2000), (2, "a", 128, 100, 2000), (3, "xyzé", 1 << 16, 500, 3)])
-def test_dedup_equals_brute_force(spark, plain, monkeypatch, seed, letters, segment, shard, hot):
+@pytest.mark.parametrize("seed,letters,segment,shard,hot,large", [
+    (0, "ab", 1 << 16, 1 << 20, 2000, 8 << 20), (1, "abcdefgh", 200, 300, 2000, 60), (2, "a", 128, 100, 2000, 30), (3, "xyzé", 1 << 16, 500, 3, 100),
+])
+def test_dedup_equals_brute_force(spark, plain, monkeypatch, seed, letters, segment, shard, hot, large):
+    monkeypatch.setattr(D, "LARGE_BYTES", large)
     monkeypatch.setattr(D, "_SEGMENT", segment)
     monkeypatch.setattr(D, "SHARD_BYTES", shard)
     monkeypatch.setattr(D, "HOT_SHARE", hot)
@@ -101,3 +104,18 @@ def test_odd_rows_and_removal(spark, odd, plain):
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[7] == "" and texts[2] is None and texts[3] == "one two three" and hashlib.sha256(texts[4].encode()).hexdigest() == by[4].kept_sha256
     assert D.digest(spark.createDataFrame([], plain)).count() == 0 and D.remove(spark.createDataFrame([], plain)).count() == 0
+
+
+def test_every_queue_spills(monkeypatch):
+    spilled = []
+    spill = I.BucketQueue._spill
+    monkeypatch.setattr(I.BucketQueue, "_spill", lambda self: (spilled.append(1), spill(self)))
+    t = np.append(np.random.default_rng(0).integers(1, 5, 3000), 0)
+    scratch = I.Scratch(0)
+    try:
+        order, common = I.suffix_order(t, 30, scratch)
+    finally:
+        scratch.close()
+    assert spilled and scratch.folder is not None
+    plain, same = I.suffix_order(t, 30)
+    assert order.tolist() == plain.tolist() and common.tolist() == same.tolist()
