@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covergraph.operators.components import connected_components
+from covergraph.sources.shared import materialize
 
 EDGES = "src int, dst int, witness_count long"
+#: Memberships of an iterable that the driver holds before they are written.
+HELD_ROWS = 1_000_000
 #: Edges of a ball graph whose components are settled in one task.
 SMALL_GRAPH = 200_000
 #: Fixed values of the choice between plain and matrix counting.
@@ -21,16 +26,33 @@ STREAM_BALLS, STREAM_MEMBERSHIPS, STREAM_WITNESSES, STREAM_RATIO = 128, 2048, 51
 
 
 def from_arrays(spark: SparkSession, cover: Iterable[Iterable[int]], n_balls: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(balls, cover) of an iterable of balls, which is read once; its length has to be n_balls if that is given."""
-    rows, seen = [], 0
-    for j, ids in enumerate(cover):
-        if n_balls is not None and j >= n_balls:
+    """(balls, cover) of an iterable of balls, which is read once, one ball at a time; its length has to be n_balls if that is given.
+
+    Memberships are written to the shared folder whenever HELD_ROWS of them are waiting.
+    """
+    schema, parts, waiting, seen = "ball_id int, point_id long", [], 0, 0
+    held: list[pd.DataFrame] = []
+
+    def flush() -> DataFrame:
+        frame = pd.concat(held) if held else pd.DataFrame({"ball_id": [], "point_id": []})
+        held.clear()
+        return spark.createDataFrame(frame.astype({"ball_id": "int32", "point_id": "int64"}), schema)
+
+    for ids in cover:
+        if seen == n_balls:
             raise ValueError("n_balls is smaller than the cover")
-        rows += [(j, int(i)) for i in ids]
-        seen += 1
+        own = np.fromiter((int(i) for i in ids), np.int64)
+        held.append(pd.DataFrame({"ball_id": np.full(len(own), seen, np.int32), "point_id": own}))
+        seen, waiting = seen + 1, waiting + len(own)
+        if waiting >= HELD_ROWS:
+            parts.append(materialize(flush(), "balls"))
+            waiting = 0
     if n_balls is not None and seen != n_balls:
         raise ValueError("n_balls is larger than the cover")
-    return spark.createDataFrame([(j,) for j in range(seen)], "ball_id int"), spark.createDataFrame(rows, "ball_id int, point_id long")
+    table = flush()
+    for part in parts:
+        table = table.unionByName(part)
+    return spark.range(seen).select(F.col("id").cast("int").alias("ball_id")), table
 
 
 def patterns(cover: DataFrame, *, least: int = 2) -> DataFrame:
@@ -55,7 +77,8 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 def compute_edge_overlaps(cover: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, overlap) of given pairs in their own direction; pairs without a common observation have 0."""
-    known = build_mapper(cover)
+    asked = edges.select(F.explode(F.array("src", "dst")).alias("ball_id")).distinct()
+    known = build_mapper(cover.join(asked, "ball_id", "left_semi"))
     wanted = edges.select("src", "dst", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     return wanted.join(known.select(F.col("src").alias("a"), F.col("dst").alias("b"), "witness_count"), ["a", "b"], "left").select(
         "src", "dst", F.coalesce("witness_count", F.lit(0)).cast("long").alias("overlap"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covergraph.functions import kernels
@@ -21,16 +21,24 @@ from covergraph.operators import range_join as rj
 from covergraph.sources.points import check_radius, dimension
 from covergraph.sources.shared import materialize
 
-#: First number of uncovered points that is settled at once; it doubles up to the bound.
-FIRST, MOST = 4096, 65536
+#: First number of uncovered points that is settled at once; it doubles up to the bound, within BLOCK_BYTES of vectors.
+FIRST, MOST = 32768, 65536
+
+
+#: Metrics in which the distance of a point to itself is exactly 0, so that an exact ball holds its center.
+SELF_HELD = ("euclidean", "manhattan", "chebyshev", "minkowski")
 
 
 @dataclass(frozen=True)
 class Selection:
-    """landmarks (ball_id, landmark_id), owners (point_id, ball_id, dist: first ball that holds the point)."""
+    """landmarks (ball_id, landmark_id), owners (point_id, ball_id, dist: first ball that holds the point).
+
+    ``blocks`` has the landmarks' vectors, as long as they come to one block.
+    """
 
     landmarks: DataFrame
     owners: DataFrame
+    blocks: list[rj.Block] | None = None
 
 
 def _empty(points: DataFrame, schema: str) -> DataFrame:
@@ -40,8 +48,9 @@ def _empty(points: DataFrame, schema: str) -> DataFrame:
 def select_landmarks_uncovered(points: DataFrame, eps: float, *, metric="euclidean", p: float = 2.0, first: int = FIRST, most: int = MOST) -> Selection:
     """Exact greedy landmarks with the first ball that holds each point."""
     eps, dim, spark = check_radius(eps), dimension(points), points.sparkSession
-    rest, size = points.select("point_id", "vec"), first
-    owned, blocks, ball = [], [], 0
+    most = max(1, min(most, rj.BLOCK_BYTES // (8 * max(dim, 1))))
+    rest, size = points.select("point_id", "vec"), min(first, most)
+    owned, blocks, held, ball = [], [], [], 0
 
     def sort_out(frame: DataFrame, block: rj.Block) -> DataFrame:
         """Owners of what the block's balls hold; what they do not hold keeps its vector."""
@@ -75,12 +84,14 @@ def select_landmarks_uncovered(points: DataFrame, eps: float, *, metric="euclide
         block = rj.Block(ball + np.arange(len(new)), ids[new], x[new])
         blocks.append(pd.DataFrame({"ball_id": block.ball, "landmark_id": block.landmark}))
         ball += len(new)
+        held = [*held, block] if ball * 8 * dim <= rj.BLOCK_BYTES else []
+        if len(ids) < size:
+            # All that was left is settled; its owners are calculated where they are asked for.
+            owned.append(sort_out(rest, block).select("point_id", "ball_id", "dist"))
+            break
         state = materialize(sort_out(rest, block), "uncovered")
         owned.append(state.where("ball_id >= 0").select("point_id", "ball_id", "dist"))
         rest = state.where("ball_id < 0").select("point_id", "vec")
-        if len(ids) < size:
-            # All that was left was settled.
-            break
         size = min(most, 2 * size)
     if not blocks:
         return Selection(_empty(points, "ball_id int, landmark_id long"), _empty(points, "point_id long, ball_id int, dist double"))
@@ -88,7 +99,8 @@ def select_landmarks_uncovered(points: DataFrame, eps: float, *, metric="euclide
     owners = owned[0]
     for o in owned[1:]:
         owners = owners.unionByName(o)
-    return Selection(landmarks, owners)
+    whole = held and sum(len(b.ball) for b in held) == ball
+    return Selection(landmarks, owners, [rj.Block(*(np.concatenate([getattr(b, n) for b in held]) for n in ("ball", "landmark", "vec")))] if whole else None)
 
 
 def greedy_from_relation(ids: DataFrame, balls: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
@@ -118,10 +130,18 @@ def greedy_from_relation(ids: DataFrame, balls: DataFrame, *, max_rounds: int =
 
 
 def numbered(landmarks: DataFrame) -> DataFrame:
-    """Ordinals of landmarks in order of their ids; the landmarks are the small side and fit the driver."""
-    rows = landmarks.select("landmark_id").toPandas().sort_values("landmark_id")
-    frame = pd.DataFrame({"ball_id": np.arange(len(rows), dtype=np.int32), "landmark_id": rows["landmark_id"].to_numpy(dtype=np.int64)})
-    return landmarks.sparkSession.createDataFrame(frame, "ball_id int, landmark_id long")
+    """Ordinals of landmarks in order of their ids: ranges of ids are numbered apart, from where the range before ends."""
+    rows = landmarks.select(F.col("landmark_id").cast("long").alias("landmark_id")).repartitionByRange("landmark_id").withColumn("part", F.spark_partition_id())
+    rows = materialize(rows, "numbered")
+    sizes = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k], total = total, total + sizes[k]
+    if total > (1 << 31) - 1:
+        raise ValueError("ball ids are 32-bit integers")
+    begin = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.lit(0)
+    number = F.row_number().over(Window.partitionBy("part").orderBy("landmark_id")) - 1
+    return rows.select((number + begin).cast("int").alias("ball_id"), "landmark_id")
 
 
 def compute_landmarks(
@@ -134,7 +154,12 @@ def compute_landmarks(
         return _empty(points, "ball_id int, landmark_id long"), _empty(points, rj.COVER)
     engine = resolve_backend(points, method, metric, leaf_size, metric_kwargs, faiss_config, hnswlib_config, cuvs_config, backend)
     if isinstance(engine, (rj.BruteForceBackend, rj.BallTreeBackend, rj.CKDTreeBackend)):
-        landmarks = select_landmarks_uncovered(points, eps, metric=engine.metric, p=engine.p).landmarks
+        chosen = select_landmarks_uncovered(points, eps, metric=engine.metric, p=engine.p)
+        landmarks = chosen.landmarks
+        cover = engine.query_radius(landmarks, eps) if isinstance(engine, rj.CKDTreeBackend) else engine.query_radius(landmarks, eps, held=chosen.blocks)
+        if engine.metric in SELF_HELD:
+            return landmarks, cover
+        return landmarks, rj.with_self(cover, landmarks)
     else:
         every = numbered(points.select(F.col("point_id").alias("landmark_id")))
         balls = engine.query_radius(every, eps).join(every, "ball_id").select("landmark_id", "point_id")

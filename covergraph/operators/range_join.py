@@ -25,6 +25,7 @@ from covergraph.sources.shared import materialize
 
 COVER = "ball_id int, point_id long"
 BLOCK_BYTES = 64 << 20
+NESTED_BYTES = 8 << 20
 #: Pairs in one distance matrix.
 _MATRIX = 1 << 22
 
@@ -39,7 +40,7 @@ class Block:
 
 
 def query_vectors(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """(ball_id, landmark_id, vec); unknown landmarks are an error where rows are counted."""
+    """(ball_id, landmark_id, vec); ``blocks`` counts the rows, so an unknown landmark is an error there."""
     q = queries.select(F.col("ball_id").cast("int").alias("ball_id"), F.col("landmark_id").cast("long").alias("landmark_id"))
     return q.join(points.select(F.col("point_id").alias("landmark_id"), "vec"), "landmark_id").select("ball_id", "landmark_id", "vec")
 
@@ -48,13 +49,19 @@ def blocks(points: DataFrame, queries: DataFrame, dim: int) -> Iterator[Block]:
     """The queries with their vectors, a bounded number at a time, in order of ordinals."""
     per = max(1, BLOCK_BYTES // (8 * max(dim, 1)))
     vectors = query_vectors(points, queries)
-    n = queries.count()
+    n = seen = queries.count()
     if n <= per:
-        yield _block(vectors, dim)
-        return
-    vectors = materialize(vectors, "queries")
-    for k in range(-(-n // per)):
-        yield _block(vectors.where((F.col("ball_id") >= k * per) & (F.col("ball_id") < (k + 1) * per)), dim)
+        block = _block(vectors, dim)
+        seen = len(block.ball)
+        yield block
+    else:
+        vectors, seen = materialize(vectors, "queries"), 0
+        for k in range(-(-n // per)):
+            block = _block(vectors.where((F.col("ball_id") >= k * per) & (F.col("ball_id") < (k + 1) * per)), dim)
+            seen += len(block.ball)
+            yield block
+    if seen != n:
+        raise IndexError("a landmark id is unknown, or a point id occurs twice")
 
 
 def _block(vectors: DataFrame, dim: int) -> Block:
@@ -107,8 +114,10 @@ def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFram
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def block_join(points: DataFrame, queries: DataFrame, eps: float, metric="euclidean", p: float = 2.0, *, single: bool = False, distances: bool = False) -> DataFrame:
-    """Exhaustive join in Arrow blocks: (ball_id, point_id), with dist on request. ``single``: in float32."""
+def block_join(
+    points: DataFrame, queries: DataFrame, eps: float, metric="euclidean", p: float = 2.0, *, single: bool = False, distances: bool = False, held: list[Block] | None = None,
+) -> DataFrame:
+    """Exhaustive join in Arrow blocks: (ball_id, point_id), with dist on request. ``single``: in float32; ``held``: the queries' blocks, if they are known."""
     eps = check_radius(eps)
     dim = dimension(points)
 
@@ -121,7 +130,7 @@ def block_join(points: DataFrame, queries: DataFrame, eps: float, metric="euclid
         return pd.DataFrame(out)
 
     schema = COVER + (", dist double" if distances else "")
-    return _union([scan(points, b, kernel, schema, dim) for b in blocks(points, queries, dim)], points.sparkSession, schema)
+    return _union([scan(points, b, kernel, schema, dim) for b in (blocks(points, queries, dim) if held is None else held)], points.sparkSession, schema)
 
 
 def _pair_distances(x, centers, i, j, metric, p):
@@ -135,12 +144,17 @@ def _pair_distances(x, centers, i, j, metric, p):
 
 
 def column_join(points: DataFrame, queries: DataFrame, eps: float, metric: str = "euclidean", p: float = 2.0) -> DataFrame:
-    """Exhaustive join as a nested loop over column expressions; for small dimensions and few queries."""
+    """Exhaustive join as a nested loop over column expressions; for small dimensions and few queries.
+
+    The queries are broadcast; more than ``NESTED_BYTES`` of them go through ``block_join``.
+    """
     eps = check_radius(eps)
     dim = dimension(points)
+    if 8 * dim * queries.count() > NESTED_BYTES:
+        return block_join(points, queries, eps, metric, p)
     q = query_vectors(points, queries).select("ball_id", F.col("vec").alias("center"))
     d = distance(F.col("vec"), F.col("center"), dim, metric, p)
-    return points.join(q, d <= F.lit(eps)).select("ball_id", "point_id")
+    return points.join(F.broadcast(q), d <= F.lit(eps)).select("ball_id", "point_id")
 
 
 def grid_join(points: DataFrame, queries: DataFrame, eps: float) -> DataFrame:
@@ -158,28 +172,17 @@ def grid_join(points: DataFrame, queries: DataFrame, eps: float) -> DataFrame:
     return points.withColumn("cell", F.array(*cell("vec"))).join(spread, "cell").where(d <= F.lit(eps)).select("ball_id", "point_id")
 
 
-def nearest_join(points: DataFrame, queries: DataFrame, k: int, eps: float | None = None, metric: str = "euclidean", *, prefilter_single: bool = False, exact: bool = True) -> DataFrame:
+def nearest_join(
+    points: DataFrame, queries: DataFrame, k: int, eps: float | None = None, metric: str = "euclidean", *,
+    prefilter_single: bool = False, exact: bool = True, cells: tuple[np.ndarray, int] | None = None,
+) -> DataFrame:
     """The k nearest points of each query (ties: smaller id first), then those within eps.
 
-    Every block of points hands on only its own k nearest for each query; the rest is a window over
-    those. ``prefilter_single`` also asks that the single-precision distance lies within eps.
+    Every partition of points keeps its k nearest for each query and hands on only those; the rest is
+    a window over them. ``prefilter_single`` also asks that the single-precision distance lies within
+    eps; with ``cells`` (centroids, probes) only points in the query's nearest cells count.
     """
-    if k < 1:
-        raise ValueError("candidate_k must be positive")
-    dim = dimension(points)
-
-    def kernel(ids, x, block):
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        rows = []
-        for b, c in zip(block.ball, block.vec):
-            d = kernels.distances(x, c, metric)
-            at = np.argsort(d, kind="stable")[:k]
-            rows.append(pd.DataFrame({"ball_id": np.full(len(at), b), "point_id": ids[at], "dist": d[at]}))
-        return pd.concat(rows) if rows else pd.DataFrame({"ball_id": [], "point_id": [], "dist": []})
-
-    schema = COVER + ", dist double"
-    best = _union([scan(points, b, kernel, schema, dim) for b in blocks(points, queries, dim)], points.sparkSession, schema)
+    best = nearest_distances(points, queries, k, metric, cells)
     order = Window.partitionBy("ball_id").orderBy("dist", "point_id")
     top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if eps is not None:
@@ -190,20 +193,72 @@ def nearest_join(points: DataFrame, queries: DataFrame, k: int, eps: float | Non
     return top.select("ball_id", "point_id")
 
 
+def nearest_distances(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """(ball_id, point_id, dist): the k nearest points of each query in each partition, the k nearest of all among them."""
+    if k < 1:
+        raise ValueError("candidate_k must be positive")
+    dim = dimension(points)
+    schema = COVER + ", dist double"
+
+    def nearest(block: Block) -> DataFrame:
+        shared = points.sparkSession.sparkContext.broadcast((block, cells))
+
+        def run(batches):
+            import pyarrow as pa
+
+            own, lists = shared.value
+            m = len(own.ball)
+            looks = _looks(own.vec, *lists, metric) if lists else None
+            dist, ids = np.full((m, 0), np.inf), np.zeros((m, 0), np.int64)
+            step = max(1, min(8192, _MATRIX // max(1, m)))
+            for batch in batches:
+                for s in range(0, batch.num_rows, step):
+                    part = batch.slice(s, step)
+                    key, x = part.column(0).to_numpy(zero_copy_only=False), arrow_matrix(part.column(1), dim)
+                    d = np.stack([kernels.distances(x, c, metric) for c in own.vec]) if m else np.zeros((0, len(x)))
+                    if lists:
+                        d = np.where(looks[:, _cell(x, lists[0], metric)], d, np.inf)
+                    dist, ids = np.concatenate([dist, d], axis=1), np.concatenate([ids, np.broadcast_to(key, d.shape)], axis=1)
+                    if dist.shape[1] > k:
+                        order = np.lexsort((ids, dist), axis=1)[:, :k]
+                        dist, ids = np.take_along_axis(dist, order, 1), np.take_along_axis(ids, order, 1)
+            at = np.isfinite(dist)
+            ball = np.broadcast_to(own.ball[:, None], dist.shape)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(ball.astype(np.int32)), pa.array(ids[at]), pa.array(dist[at])], ["ball_id", "point_id", "dist"])
+
+        return points.select("point_id", "vec").mapInArrow(run, schema)
+
+    # What a partition keeps is bounded too: fewer queries at a time where k is large.
+    per = max(1, _MATRIX // k)
+    parts = [nearest(Block(b.ball[s : s + per], b.landmark[s : s + per], b.vec[s : s + per])) for b in blocks(points, queries, dim) for s in range(0, len(b.ball), per)]
+    return _union(parts, points.sparkSession, schema)
+
+
+def _gaps(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
+    x = kernels.normalized(x) if metric == "cosine" else x
+    return (x * x).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(axis=1)
+
+
+def _cell(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
+    """The cell of each point: its nearest centroid."""
+    return _gaps(x, centroids, metric).argmin(axis=1)
+
+
+def _looks(queries: np.ndarray, centroids: np.ndarray, probes: int, metric: str) -> np.ndarray:
+    """(queries, centroids): the ``probes`` nearest cells of each query."""
+    order = np.argsort(_gaps(queries, centroids, metric), axis=1, kind="stable")[:, :probes]
+    looks = np.zeros((len(queries), len(centroids)), dtype=bool)
+    looks[np.arange(len(order))[:, None], order] = True
+    return looks
+
+
 def cell_join(points: DataFrame, queries: DataFrame, eps: float, centroids: np.ndarray, probes: int, metric: str = "euclidean", *, exact: bool = False) -> DataFrame:
     """Inverted-list join: points belong to their nearest centroid's cell, a query looks into its ``probes`` nearest cells."""
     dim = dimension(points)
     centroids = np.asarray(centroids, dtype=np.float64)
-    prepare = kernels.normalized if metric == "cosine" else (lambda x: x)
-
-    def square(x):
-        return (x * x).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(axis=1)
 
     def kernel(ids, x, block):
-        own = square(prepare(x)).argmin(axis=1)
-        order = np.argsort(square(prepare(block.vec)), axis=1, kind="stable")[:, :probes]
-        looks = np.zeros((len(block.ball), len(centroids)), dtype=bool)
-        looks[np.arange(len(order))[:, None], order] = True
+        own, looks = _cell(x, centroids, metric), _looks(block.vec, centroids, probes, metric)
         near = kernels.within(x, block.vec, eps, metric) if exact else kernels.within_float32(x, block.vec, eps, metric)
         i, j = np.nonzero(near & looks[:, own].T)
         return pd.DataFrame({"ball_id": block.ball[j], "point_id": ids[i]})
@@ -353,8 +408,8 @@ class BruteForceBackend(_Backend):
         self._only("euclidean", "cosine")
         self.metadata = BackendMetadata("brute_force", True, self.metric)
 
-    def query_radius(self, queries, eps):
-        return block_join(self.points, queries, eps, self.metric)
+    def query_radius(self, queries, eps, held=None):
+        return block_join(self.points, queries, eps, self.metric, held=held)
 
 
 class BallTreeBackend(_Backend):
@@ -362,15 +417,14 @@ class BallTreeBackend(_Backend):
 
     def __init__(self, points, metric="euclidean", leaf_size=40, metric_kwargs=None):
         kwargs = dict(metric_kwargs or {})
-        if isinstance(leaf_size, bool) or not isinstance(leaf_size, int) or leaf_size < 1:
-            raise ValueError("leaf_size must be a positive integer")
+        check_leaf_size(leaf_size)
         super().__init__(points, metric, float(kwargs.pop("p", 2.0)))
         if self.metric == "cosine":
             raise ValueError("a ball tree takes no cosine distance")
         self.metadata = BackendMetadata("ball_tree", True, str(metric))
 
-    def query_radius(self, queries, eps):
-        return block_join(self.points, queries, eps, self.metric, self.p)
+    def query_radius(self, queries, eps, held=None):
+        return block_join(self.points, queries, eps, self.metric, self.p, held=held)
 
 
 class CKDTreeBackend(_Backend):
@@ -420,7 +474,11 @@ class FaissRangeBackend(_Backend):
         if self.kind == "ivf":
             if self._centroids is None:
                 self._centroids = train_centroids(self.points, self.cells, sample=c.train_size, seed=c.train_seed, metric=self.metric)
-            found = cell_join(self.points, queries, eps, self._centroids, int(c.search_params.get("nprobe", 1)), self.metric, exact=c.exact_verify)
+            probes = int(c.search_params.get("nprobe", 1))
+            if self.capped:
+                found = nearest_join(self.points, queries, min(c.candidate_k, self.n_samples), eps, self.metric, exact=c.exact_verify, cells=(self._centroids, probes))
+            else:
+                found = cell_join(self.points, queries, eps, self._centroids, probes, self.metric, exact=c.exact_verify)
         elif self.capped:
             found = nearest_join(self.points, queries, min(c.candidate_k, self.n_samples), eps, self.metric, exact=c.exact_verify)
         else:
@@ -428,6 +486,11 @@ class FaissRangeBackend(_Backend):
         return with_self(found, queries)
 
 
+def _mode(options: dict) -> dict:
+    """A bound on candidates asks for the nearest ones, where no mode is named."""
+    return {"query_mode": "knn", **options} if options.get("candidate_k") is not None else options
+
+
 class FaissFlatBackend(FaissRangeBackend):
     def __init__(self, points, metric="euclidean", **options):
         super().__init__(points, metric, FaissConfig(factory="Flat", **options))
@@ -435,7 +498,7 @@ class FaissFlatBackend(FaissRangeBackend):
 
 class FaissIVFBackend(FaissRangeBackend):
     def __init__(self, points, metric="euclidean", nlist=256, nprobe=16, **options):
-        super().__init__(points, metric, FaissConfig(factory=f"IVF{nlist},Flat", search_params={"nprobe": nprobe}, **options))
+        super().__init__(points, metric, FaissConfig(factory=f"IVF{nlist},Flat", search_params={"nprobe": nprobe}, **_mode(options)))
 
 
 class FaissHNSWBackend(FaissRangeBackend):
@@ -489,13 +552,23 @@ ALIASES = {
 }
 
 
+def backend_name(method: str) -> str:
+    """The usual name of a method."""
+    name = str(method).lower().replace("-", "_")
+    return ALIASES.get(name, name)
+
+
+def check_leaf_size(leaf_size: int) -> None:
+    if isinstance(leaf_size, bool) or not isinstance(leaf_size, int) or leaf_size < 1:
+        raise ValueError("leaf_size must be a positive integer")
+
+
 def make_backend(
     points: DataFrame, method: str = "ball_tree", metric="euclidean", leaf_size: int = 40, metric_kwargs: dict[str, Any] | None = None,
     faiss_config: FaissConfig | None = None, hnswlib_config: HnswlibConfig | None = None, cuvs_config: CuVSConfig | None = None,
 ) -> RangeQueryBackend:
     """A backend by name."""
-    name = str(method).lower().replace("-", "_")
-    name = ALIASES.get(name, name)
+    name = backend_name(method)
     for own, config in (("faiss", faiss_config), ("hnswlib", hnswlib_config), ("cuvs", cuvs_config)):
         if config is not None and not name.startswith(own):
             raise ValueError(f"{own}_config goes with method {own!r} only")

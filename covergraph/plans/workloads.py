@@ -278,11 +278,100 @@ def stream_sizes(spark, sf):
     return spark.table(name).select("ball_id", F.col("value").cast("long").alias("value"))
 
 
+def hnswlib_cover(spark, sf):
+    points = cloud(spark, sf)
+    return api.build_cover(points, fixed(points), EPS, "hnswlib", hnswlib_config=api.HnswlibConfig(candidate_k=K))
+
+
+def cuvs_cover(spark, sf):
+    points = cloud(spark, sf)
+    return api.build_cover(points, fixed(points), EPS, "cuvs_cagra", cuvs_config=api.CuVSConfig(candidate_k=K))
+
+
+def blocked_balls(spark, sf):
+    """Balls taken one at a time."""
+    points = cloud(spark, sf)
+    rows = [(j, len(ids), sum(ids)) for j, ids in enumerate(api.iter_cover_blocked(points, fixed(points), EPS))]
+    return spark.createDataFrame(rows, "ball_id int, size long, id_sum long")
+
+
+def cover_uncovered(spark, sf):
+    return api.compute_landmarks_uncovered(cloud(spark, sf), EPS)[1]
+
+
+def streaming_graph(spark, sf):
+    """The graph of an iterable of balls."""
+    points = cloud(spark, sf)
+    marks = materialize(fixed(points), "marks")
+    return api.build_mapper_streaming(spark, api.iter_cover_blocked(points, marks, EPS), n_balls=marks.count(), output="networkx")
+
+
+def auto_graph(spark, sf):
+    _, landmarks, cover = greedy(spark, sf)
+    return api.build_mapper_auto(cover, landmarks)
+
+
+def fused_graph(spark, sf):
+    return api.compute_mapper_streaming(cloud(spark, sf), EPS)[1]
+
+
+def h0_from_cover(spark, sf):
+    points = cloud(spark, sf)
+    cover = materialize(api.build_cover_blocked(points, fixed(points), max(RADII)), "cover")
+    found = api.fixed_landmark_h0_from_cover(points, fixed(points), RADII, cover)
+    return spark.createDataFrame(list(enumerate(found.component_counts)), "pos int, n_components long")
+
+
+def witness_check(spark, sf):
+    """Ball 0 gives up all observations that it shares: a disconnection if it has an edge, unless the budget is too small."""
+    points = cloud(spark, sf)
+    balls = fixed(points)
+    cover = materialize(api.build_cover_blocked(points, balls, EPS), "cover")
+    shared = cover.where("ball_id <> 0").select("point_id").distinct()
+    gone = [(0, r.point_id) for r in cover.where("ball_id = 0").join(shared, "point_id", "left_semi").orderBy("point_id").toLocalIterator()]
+    rows = []
+    for name, budget in (("enough", len(gone)), ("short", len(gone) - 1)):
+        budgets = balls.select("ball_id", F.lit(budget).cast("long").alias("budget"))
+        rows.append((name, api.check_disconnection_witness(cover, balls, budgets, gone)))
+    return spark.createDataFrame(rows, "budget string, valid boolean")
+
+
+def witness_survival(spark, sf):
+    _, _, a, b = _audited(spark, sf)
+    return api.witness_survival(api.audit_witness(a, b))
+
+
+def color_errors(spark, sf):
+    from covergraph.operators.audit import color_errors as errors
+
+    _, balls, a, b = _audited(spark, sf)
+    return _rounded(errors(api.audit_colors(a, b, balls, values(spark, sf))), "mae", "rmse", "max_error")
+
+
+def distances_to_all(spark, sf):
+    return api.BruteForceBackend(cloud(spark, sf)).distances_to_all(0).select("point_id", F.round("dist", 6).alias("dist"))
+
+
+def filtered_candidates(spark, sf):
+    points = cloud(spark, sf)
+    return api.filter_candidates(points, 0, points.where(F.col("point_id") % 3 == 0), EPS)
+
+
+def calibrated_radius(spark, sf):
+    return spark.createDataFrame([(K, round(api.calibrate_epsilon(cloud(spark, sf), K), 6))], "k int, eps double")
+
+
+def exactness_gate(spark, sf):
+    """Whether the exact engines agree on landmarks, memberships and edges."""
+    return spark.createDataFrame(sorted(api.exactness_gate(lattice_points(spark, sf), 2 * LATTICE_EPS).items()), "method string, equal boolean")
+
+
 NAMES = [
     greedy_landmarks, greedy_owners, verified_landmarks, fps_landmarks, cover_members, cover_localized, cover_fixed_landmarks, cover_columns, cover_cosine, cover_manhattan, cover_flat,
     knn_capped_cover, ivf_cover, lattice_cover, lattice_edges, mapper_edges, mapper_edges_symmetric, cover_statistics, edge_overlaps_given, patterns, components, color_mean, color_mode,
     color_entropy, color_size, color_density, node_sizes, plot_edges, audit_balls, audit_edges, audit_witness, audit_colors, audit_summary, boundary_diagnostics, h0_counts, h0_merges,
-    component_certificate, connectivity_certificate, stream_sizes,
+    component_certificate, connectivity_certificate, stream_sizes, hnswlib_cover, cuvs_cover, blocked_balls, cover_uncovered, streaming_graph, auto_graph, fused_graph, h0_from_cover,
+    witness_check, witness_survival, color_errors, distances_to_all, filtered_candidates, calibrated_radius, exactness_gate,
 ]
 
 
@@ -341,6 +430,19 @@ cover AS MATERIALIZED (SELECT a.id::INT AS ball_id, b.id AS point_id FROM l a JO
 _CELL = f"list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings c WHERE c.vec_id = cell))"
 
 
+_STAR = f"""mem AS MATERIALIZED (SELECT * FROM dist WHERE d <= {max(RADII)}),
+            own AS MATERIALIZED (SELECT point_id, first(ball_id ORDER BY d, ball_id) AS o FROM mem GROUP BY 1),
+            star AS MATERIALIZED (SELECT least(ball_id, o) AS src, greatest(ball_id, o) AS dst, min(d) AS w FROM mem JOIN own USING (point_id) WHERE ball_id <> o GROUP BY 1, 2)"""
+
+
+def _counts() -> str:
+    """Component counts of fixed landmarks at RADII."""
+    return f"""WITH RECURSIVE {_FIXED}, {_ALL}, {_STAR},
+            radii AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r}::DOUBLE)' for i, r in enumerate(RADII))}) t(pos, r)),
+            reach(pos, a, b) AS (SELECT pos, ball_id, ball_id FROM radii, balls UNION SELECT c.pos, c.a, s.dst FROM reach c JOIN radii USING (pos) JOIN (SELECT src, dst, w FROM star UNION ALL SELECT dst, src, w FROM star) s ON s.src = c.b AND s.w <= r)
+            SELECT pos::INT AS pos, count(DISTINCT m)::BIGINT AS n_components FROM (SELECT pos, a, min(b) AS m FROM reach GROUP BY 1, 2) GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     r6 = lambda c: f"round({c}, 6) AS {c}"
     label = "JOIN embeddings e ON e.vec_id = point_id"
@@ -396,15 +498,35 @@ def oracle_sql() -> dict[str, str]:
             (SELECT count(*) FILTER (reference_count > 0 AND approximate_count > 0) AS edge_tp, count(*) FILTER (reference_count = 0) AS edge_fp, count(*) FILTER (approximate_count = 0) AS edge_fn FROM wit)"""),
         "boundary_diagnostics": _f(f"""SELECT ball_id, landmark_id, round(min(abs(d - {EPS})), 6) AS min_abs_margin, round({EPS} - max(d) FILTER (d <= {EPS}), 6) AS inside_margin,
             round(coalesce(min(d) FILTER (d > {EPS}), 'inf'::DOUBLE) - {EPS}, 6) AS outside_margin, {', '.join(f'count(*) FILTER (abs(d - {EPS}) <= {w}) AS band{i}' for i, w in enumerate(DELTAS))} FROM dist GROUP BY 1, 2"""),
-        "h0_counts": f"""WITH RECURSIVE {_FIXED}, {_ALL}, mem AS MATERIALIZED (SELECT * FROM dist WHERE d <= {max(RADII)}),
-            own AS MATERIALIZED (SELECT point_id, first(ball_id ORDER BY d, ball_id) AS o FROM mem GROUP BY 1),
-            star AS MATERIALIZED (SELECT least(ball_id, o) AS src, greatest(ball_id, o) AS dst, min(d) AS w FROM mem JOIN own USING (point_id) WHERE ball_id <> o GROUP BY 1, 2),
-            radii AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r}::DOUBLE)' for i, r in enumerate(RADII))}) t(pos, r)),
-            reach(pos, a, b) AS (SELECT pos, ball_id, ball_id FROM radii, balls UNION SELECT c.pos, c.a, s.dst FROM reach c JOIN radii USING (pos) JOIN (SELECT src, dst, w FROM star UNION ALL SELECT dst, src, w FROM star) s ON s.src = c.b AND s.w <= r)
-            SELECT pos::INT AS pos, count(DISTINCT m)::BIGINT AS n_components FROM (SELECT pos, a, min(b) AS m FROM reach GROUP BY 1, 2) GROUP BY 1""",
+        "h0_counts": _counts(),
+        "h0_from_cover": _counts(),
+        "h0_merges": f"""WITH RECURSIVE {_FIXED}, {_ALL}, {_STAR},
+            reach(w, src, dst, x) AS (SELECT w, src, dst, src FROM star UNION
+              SELECT r.w, r.src, r.dst, s.dst FROM reach r JOIN (SELECT src AS a, dst AS b, src, dst, w FROM star UNION ALL SELECT src, dst, dst, src, w FROM star) s
+              ON s.src = r.x AND (s.w, s.a, s.b) < (r.w, r.src, r.dst)),
+            tree AS (SELECT w, src, dst FROM star EXCEPT SELECT w, src, dst FROM reach WHERE x = dst)
+            SELECT (row_number() OVER (ORDER BY w, src, dst) - 1)::INT AS seq, round(w, 6) AS radius, src, dst FROM tree""",
         "component_certificate": _g(f""", guarded AS MATERIALIZED (SELECT src, dst FROM edges WHERE witness_count > src % 2 + dst % 2),
             {_REACH.format(e='edges')}, reach2(a, b) AS (SELECT ball_id, ball_id FROM balls UNION SELECT r.a, e.dst FROM reach2 r JOIN (SELECT src, dst FROM guarded UNION ALL SELECT dst, src FROM guarded) e ON e.src = r.b)
             SELECT x = y AS certified, x AS exact_components, y AS protected_components, (SELECT count(*) FROM guarded) AS protected_edges FROM
             (SELECT count(DISTINCT m) AS x FROM (SELECT a, min(b) AS m FROM reach GROUP BY a)), (SELECT count(DISTINCT m) AS y FROM (SELECT a, min(b) AS m FROM reach2 GROUP BY a))"""),
+        "hnswlib_cover": _f(f", {_KNN} SELECT * FROM capped"),
+        "cuvs_cover": _f(f", {_KNN} SELECT * FROM capped"),
+        "blocked_balls": _f(f"SELECT ball_id, count(*)::BIGINT AS size, sum(point_id)::BIGINT AS id_sum FROM dist WHERE d <= {EPS} GROUP BY 1"),
+        "cover_uncovered": _g("SELECT * FROM cover"),
+        "streaming_graph": _f(f", {_EXACT} SELECT a.ball_id AS src, b.ball_id AS dst, count(*)::BIGINT AS witness_count FROM exact a JOIN exact b ON a.point_id = b.point_id AND a.ball_id < b.ball_id GROUP BY 1, 2"),
+        "auto_graph": _g("SELECT * FROM edges UNION ALL SELECT dst, src, witness_count FROM edges"),
+        "fused_graph": _g("SELECT * FROM edges UNION ALL SELECT dst, src, witness_count FROM edges"),
+        "witness_check": _f(f""", {_EXACT}, n AS (SELECT count(*) > 0 AS hit FROM exact a JOIN exact b ON a.point_id = b.point_id AND a.ball_id = 0 AND b.ball_id <> 0)
+            SELECT 'enough' AS budget, hit AS valid FROM n UNION ALL SELECT 'short', false"""),
+        "witness_survival": _t("""SELECT pow(2, floor(log2(reference_count)))::BIGINT AS bin, count(*)::BIGINT AS edges, count(*) FILTER (approximate_count > 0)::BIGINT AS survived
+            FROM wit WHERE reference_count > 0 GROUP BY 1"""),
+        "color_errors": _t(f"""SELECT round(avg(e), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(max(e), 6) AS max_error FROM (SELECT abs(rm - am) AS e FROM
+            (SELECT ball_id, avg(label::DOUBLE) FILTER (r) AS rm, avg(label::DOUBLE) FILTER (a) AS am FROM both2 {label} GROUP BY 1) WHERE rm IS NOT NULL AND am IS NOT NULL)"""),
+        "distances_to_all": f"SELECT b.vec_id AS point_id, round({_D}, 6) AS dist FROM embeddings a, embeddings b WHERE a.vec_id = 0",
+        "filtered_candidates": f"SELECT b.vec_id AS point_id FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id % 3 = 0 AND {_D} <= {EPS}",
+        "calibrated_radius": f"""SELECT {K}::INT AS k, round(quantile_cont(d, 0.5), 6) AS eps FROM (SELECT {_D} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) AS r
+            FROM embeddings a, embeddings b) WHERE r = {K + 1}""",
+        "exactness_gate": "SELECT method, true AS equal FROM (VALUES ('ball_tree'), ('brute_force'), ('ckdtree')) t(method)",
         "stream_sizes": _f(f"SELECT ball_id, count(*)::BIGINT AS value FROM dist WHERE d <= {EPS} GROUP BY 1"),
     }

@@ -30,8 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR}"
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/covergraph/{label}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, label: str, *, keep: bool = False) -> str:
+    """A new path in the shared folder. Those of intermediate tables lie in a folder of the application, which
+    goes when the driver's process ends; what is to be kept lies outside it."""
+    base = f"{shared_dir(spark)}/covergraph"
+    if not keep:
+        base = f"{base}/{spark.sparkContext.applicationId}"
+        if base not in _INTERMEDIATE:
+            _INTERMEDIATE.add(base)
+            atexit.register(_remove, base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+_INTERMEDIATE: set[str] = set()
+
+
+def _remove(uri: str) -> None:
+    """Removes a folder where this process can reach its file system; elsewhere the folder stays."""
+    import pyarrow as pa
+    from pyarrow.fs import FileSystem
+
+    try:
+        fs, path = FileSystem.from_uri(uri)
+        fs.delete_dir(path)
+    except (OSError, ValueError, pa.ArrowException):
+        return
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

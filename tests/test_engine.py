@@ -295,7 +295,7 @@ def test_exact_certificates_equal_enumeration(spark):
             pat = tuple(i for i in range(m) if x in cover[i])
             if len(pat) > 1:
                 table.setdefault(pat, []).append(x)
-        for method in ("auto", "milp"):
+        for method, cutoff in (("auto", 3), ("auto", 0), ("milp", 3)):
             robust, left = True, dict(table)
             while left:
                 # One connected part at a time.
@@ -308,8 +308,8 @@ def test_exact_certificates_equal_enumeration(spark):
                             grown = True
                 own = {k: v for k, v in left.items() if set(k) & part}
                 left = {k: v for k, v in left.items() if k not in own}
-                robust &= certify_local(own, dict(enumerate(budgets)), method, 10**5, 10.0)["robust"]
-            assert robust == brute(cover, budgets), (cover, budgets, method)
+                robust &= certify_local({k: len(v) for k, v in own.items()}, dict(enumerate(budgets)), method, cutoff, 10**5, 10.0)["robust"]
+            assert robust == brute(cover, budgets), (cover, budgets, method, cutoff)
 
 
 def test_certificates(spark):
@@ -347,3 +347,133 @@ def test_synthetic(spark):
     for kind in ("gaussian", "uniform", "mixture", "curve"):
         assert api.cloud(spark, kind, 20, 3).toPandas()["vec"].map(len).tolist() == [3] * 20
     assert api.lattice(spark, (2, 3)).count() == 6
+
+
+def test_separator_search_with_both_orders(spark):
+    from covergraph.operators.certify import elimination_bags, elimination_order, geometric_order, neighbours
+
+    points, marks = api.lattice_cover(spark, (2, 4), witnesses=2)
+    points = api.validate(points).cache()
+    cover = api.build_cover(points, marks, 1.0).cache()
+    coords = points.where("point_id < 8").selectExpr("CAST(point_id AS INT) AS ball_id", "vec")
+    bud = lambda k: marks.selectExpr("ball_id", f"CAST({k} AS BIGINT) AS budget")
+    for k in (0, 1, 2):
+        want = api.certify_connectivity(cover, marks, bud(k)).robust
+        for order in ({"ordering": "min_fill"}, {"ordering": "geometric", "coords": coords, "eps": 1.0}):
+            got = api.certify_separator_dp(cover, marks, bud(k), **order)
+            assert got.robust == want
+            assert got.robust or api.check_disconnection_witness(cover, marks, bud(k), got.deletions)
+    assert api.certify_separator_dp(cover, marks, bud(1), max_states=1).robust is None
+    weights = {tuple(r.pattern): r.weight for r in api.patterns(cover).collect()}
+    adjacent = neighbours(weights)
+    at = {r.ball_id: tuple(r.vec) for r in coords.collect()}
+    order = geometric_order(list(range(8)), at, 1.0, leaf=2)
+    assert sorted(order) == list(range(8))
+    for o in (order, elimination_order(list(range(8)), adjacent)[0]):
+        bags = elimination_bags(o, adjacent)
+        assert all(any(set(p) <= set(b) for b in bags) for p in weights)
+    with pytest.raises(ValueError):
+        api.certify_connectivity(cover, marks, bud(500), n_samples=10)
+
+
+def test_calibration_equals_numpy(spark):
+    x = np.random.default_rng(2).standard_normal((70, 3))
+    points = api.from_array(spark, x)
+    d = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)
+    assert np.isclose(api.calibrate_epsilon(points, 5), np.median(d[:, 5]))
+    assert np.isclose(api.choose_radius(points, 4, queries=70), np.median(d[:, 4])) and api.choose_radius(points, 4, queries=9) > 0
+    with pytest.raises(ValueError):
+        api.calibrate_epsilon(points, 70)
+
+
+def test_capped_cells_and_candidates(spark):
+    x = np.random.default_rng(3).standard_normal((200, 4))
+    points, marks = api.from_array(spark, x), spark.createDataFrame([(0, 5), (1, 60)], "ball_id int, landmark_id long")
+    eps = 2.0
+    for k in (3, 17):
+        got = {(r.ball_id, r.point_id) for r in api.FaissIVFBackend(points, nlist=4, nprobe=4, candidate_k=k, exact_verify=True).query_radius(marks, eps).collect()}
+        want = {(b, int(i)) for b, q in ((0, 5), (1, 60)) for d in [np.linalg.norm(x - x[q], axis=1)] for i in np.argsort(d, kind="stable")[:k] if d[i] <= eps}
+        assert got == want
+        few = api.FaissIVFBackend(points, nlist=4, nprobe=1, candidate_k=k, exact_verify=True).query_radius(marks, eps)
+        assert few.count() <= 2 * k
+    asked = spark.createDataFrame([(i,) for i in range(0, 200, 3)] * 2, "point_id long")
+    for engine in ("scalar", "batch", "numba", "auto"):
+        got = sorted(r.point_id for r in api.filter_candidates(points, 5, asked, eps, engine=engine, block_size=7).collect())
+        assert got == [i for i in range(0, 200, 3) if np.linalg.norm(x[i] - x[5]) <= eps]
+    for bad in ({"engine": "gpu"}, {"block_size": 0}, {"block_size": True}):
+        with pytest.raises(ValueError):
+            api.filter_candidates(points, 5, asked, eps, **bad)
+
+
+def test_localized_cover_is_the_blocked_one(spark):
+    x = np.random.default_rng(4).random((400, 2))
+    points = api.from_array(spark, x)
+    chosen = api.select_landmarks_uncovered(points, 0.1)
+    want = {(r.ball_id, r.point_id) for r in api.build_cover_blocked(points, chosen.landmarks, 0.1).collect()}
+    for strategy in ("localized", "auto", "blocked"):
+        got, stats = api.build_cover_localized(points, chosen.landmarks, 0.1, chosen.owners, strategy=strategy, return_stats=True)
+        assert {(r.ball_id, r.point_id) for r in got.collect()} == want
+        assert stats.strategy == ("blocked" if strategy == "blocked" else "localized")
+    unknown = spark.createDataFrame([(0, 3), (1, 4000)], "ball_id int, landmark_id long")
+    with pytest.raises(IndexError):
+        api.build_cover_blocked(points, unknown, 0.1)
+    landmarks, cover = api.compute_landmarks_uncovered(points, 0.1)
+    assert {(r.ball_id, r.point_id) for r in cover.collect()} == want
+    assert [list(b) for b in api.iter_cover_blocked(points, landmarks, 0.1)] == [sorted(i for b, i in want if b == k) for k in range(landmarks.count())]
+
+
+def test_streamed_graphs(spark, monkeypatch):
+    from covergraph.operators import graph
+
+    monkeypatch.setattr(graph, "HELD_ROWS", 3)
+    balls = [[0, 1, 2], [2, 3], [], [3, 2, 2], [5]]
+    edges = {(r.src, r.dst): r.witness_count for r in api.build_mapper_streaming(spark, iter(balls), n_balls=5, output="networkx").collect()}
+    assert edges == {(0, 1): 1, (0, 3): 1, (1, 3): 2}
+    for n in (4, 6):
+        with pytest.raises(ValueError):
+            api.build_mapper_streaming(spark, iter(balls), n_balls=n)
+    x = np.random.default_rng(5).random((120, 2))
+    points = api.from_array(spark, x)
+    landmarks, both = api.compute_mapper_streaming(points, 0.2)
+    want = {(r.src, r.dst, r.witness_count) for r in api.symmetric(api.build_mapper(api.build_cover_blocked(points, landmarks, 0.2))).collect()}
+    assert {(r.src, r.dst, r.witness_count) for r in both.collect()} == want
+
+
+def test_reports_gates_and_files(spark, tmp_path):
+    a = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "ball_id int, point_id long")
+    b = spark.createDataFrame([(0, 1), (1, 2), (1, 3)], "ball_id int, point_id long")
+    balls = spark.createDataFrame([(0,), (1,)], "ball_id int")
+    got = list(api.records(api.audit_balls(a, b, balls), api.BallMembershipAudit))
+    assert [(r.ball_id, r.false_positives, r.false_negatives) for r in got] == [(0, 0, 1), (1, 1, 0)]
+    assert [(r.src, r.dst, r.status) for r in api.records(api.audit_witness(a, b), api.EdgeWitnessChange)] == [(0, 1, "missing")]
+    values = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 5.0)], "point_id long, value double")
+    assert [round(r.absolute_error, 6) for r in api.records(api.audit_colors(a, b, balls, values), api.ColorAudit)] == [1.0, 1.0]
+    points = api.from_array(spark, np.random.default_rng(6).random((60, 2)))
+    near = next(api.records(api.compute_boundary_diagnostics(points, [0, 1], 0.3, deltas=[0.1]), api.BoundaryDiagnostics))
+    assert near.ball_id == 0 and set(near.band_counts) == {0.1}
+    assert api.exactness_gate(points, 0.2) == {"ball_tree": True, "brute_force": True, "ckdtree": True}
+    fine = {"landmarks_equal": True, "cover_equal": True, "graph_equal": True, "false_positives": 0}
+    assert api.gate_failures("ckdtree", **fine) == [] and len(api.gate_failures("ckdtree", **{**fine, "landmarks_equal": False, "graph_equal": False})) == 2
+    assert api.gate_failures("ivf", **{**fine, "cover_equal": False}) == [] and len(api.gate_failures("hnsw", **{**fine, "false_positives": 2})) == 1
+    for kind in ("parquet", "json", "csv"):
+        api.write_results(api.patterns(a), str(tmp_path / kind), kind)
+        assert spark.read.format(kind).load(str(tmp_path / kind)).count() >= 1
+
+
+def test_old_call_forms(spark):
+    assert api.normalize_backend_options("BallTree", "Euclidean") == ("ball_tree", "euclidean", {}) and api.normalize_backend_options("brute", "cosine")[0] == "brute_force"
+    for bad in (("hnsw", "euclidean"), ("faiss", "manhattan")):
+        with pytest.raises(ValueError):
+            api.normalize_backend_options(*bad)
+    with pytest.raises(TypeError):
+        api.normalize_backend_options(3, "euclidean")
+    points = api.from_array(spark, np.random.default_rng(7).random((50, 2)))
+    covers = [api.compute_landmarks_brute_force(points, 0.3)[1], api.compute_landmarks_ball_tree(points, 0.3)[1], api.compute_landmarks_faiss(points, 0.3)[1]]
+    rows = [sorted((r.ball_id, r.point_id) for r in c.collect()) for c in covers]
+    assert rows[0] == rows[1] == rows[2]
+    covers = [f(points, [0, 7], 0.3) for f in (api.build_cover_brute_force, api.build_cover_ball_tree, api.build_cover_faiss)]
+    marks = spark.createDataFrame([(0, 0), (1, 7)], "ball_id int, landmark_id long")
+    covers += [api.query_brute_force_range(points, marks, 0.3), api.create_ball_tree(points, "minkowski", p=2).query_radius(marks, 0.3), api.create_euclidean_index(points).query_radius(marks, 0.3)]
+    rows = [sorted((r.ball_id, r.point_id) for r in c.collect()) for c in covers]
+    assert all(r == rows[0] for r in rows)
+    assert api.create_cosine_index(points).metadata.metric == "cosine"
