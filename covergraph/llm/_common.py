@@ -24,13 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Bytes in an Arrow batch of texts, where the session's own configuration names no bound: two workers of an executor hold little.
 BATCH_BYTES = 4 << 20
+#: Fixed value: what Spark has where nothing is named.
+DEFAULT_BYTES = 64 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the session's Arrow batches by bytes: batches of long texts stay small."""
+    """``df``, after bounding the session's Arrow batches by bytes, where neither its start nor the caller named a bound.
+
+    The bound is a setting of the session, which the planner reads when the result is used; it stays set.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not df.sparkSession.sparkContext.getConf().contains(key):
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    conf = df.sparkSession.conf
+    if not df.sparkSession.sparkContext.getConf().contains(key) and int(conf.get(key).rstrip("bB")) == DEFAULT_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 

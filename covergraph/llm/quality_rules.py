@@ -4,20 +4,24 @@ Base rule. A document fails with fewer than ``min_words`` words, or with more th
 of its words inside 8-word windows that occur twice or more in it.
 
 Perplexity. The units are code points (12 bits each, rarer ones folded), so the number of distinct
-n-grams follows the alphabets and not the corpus. Python emits (language, n-gram, count) per batch,
+n-grams follows the alphabets rather than the corpus. Python emits (language, n-gram, count) per batch,
 Spark adds them up and derives discounts, probabilities and back-off weights of all orders. The
 model is one pair of sorted hash arrays (packed n-grams) and values per language, order and kind.
-Its size per language is bounded: where an order of a language has more than ``max_entries`` n-grams
-its count cutoff is raised, and the left-out mass goes to the back-off weight. Counts come from all documents that pass
-the base rule and have few symbols, the reference side of the corpus.
+Counts come from all documents that pass the base rule and have few symbols, the reference side of
+the corpus. No n-gram is left out: a model of more than ``shard_entries`` entries is dealt into shards
+by the two code points before the last, so that all a code point needs lies in one, and texts pass
+over one shard at a time; what the shards give is added up.
 
 A document is kept if it passes the base rule and its log perplexity lies in its language's band:
 the median of the reference documents plus or minus a width. The width has a part that shrinks with
-the length of the text, as short texts scatter more.
+the length of the text, as short texts scatter more. The spreads of a language with few reference documents
+are drawn towards those of all languages, as if ``prior`` documents more had them.
 
 Nulls: a null text has no words and fails the base rule; a null language is a language of its own.
-An empty table gives an empty model and no rows; a language with few reference documents has no band
-and rejects nothing beyond the base rule. All columns are kept, none but the named ones is read.
+An empty table gives an empty model and no rows; a language without reference documents has no band
+and rejects nothing beyond the base rule, and one with a single document keeps it. Texts of any
+length are read whole, in pieces. Repeated rows count each time. All columns are kept, none but the
+named ones is read.
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covergraph.llm._common import materialize, released, small_batches
+from covergraph.llm._common import materialize, released, small_batches, xxhash64
 
 ORDER, BITS = 5, 12
 #: White space between words, and the symbols that are counted.
 SPACE, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
 REPEAT_WINDOW = 8
 _PIECE_CHARS = 400_000
+#: A table of one row a language is broadcast up to this many rows.
+MOST_BROADCAST = 10_000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -165,8 +171,8 @@ class KneserNey:
             p = self._get(lang, order, "u", g, 0.0) + self._get(lang, order, "b", g >> BITS, 1.0) * p
         return np.log2(np.maximum(p, 1e-12))
 
-    def bits(self, texts: list[str | None], langs: list[str]) -> np.ndarray:
-        """Mean bits per code point of each text, which is its log2 perplexity; 0 for empty texts."""
+    def totals(self, texts: list[str | None], langs: list[str], part: tuple[int, int] = (0, 1)) -> np.ndarray:
+        """Bits of each text, over those of its code points that belong to shard ``part``."""
         out = np.zeros(len(texts))
         for s, e in pieces(texts):
             for lang in set(langs[s:e]):
@@ -174,11 +180,53 @@ class KneserNey:
                 if not own:
                     continue
                 packed, doc = grams([texts[i] for i in own])
+                if part[1] > 1:
+                    here = np.flatnonzero(_shard_of(packed >> BITS, part[1]) == part[0])
+                    packed, doc = packed[here], doc[here]
                 keys, inverse = np.unique(packed, return_inverse=True)
-                total = np.bincount(doc, weights=self.log2(lang, keys)[inverse], minlength=len(own))
-                out[own] = -total / np.maximum(np.bincount(doc, minlength=len(own)), 1)
+                out[own] = -np.bincount(doc, weights=self.log2(lang, keys)[inverse], minlength=len(own))
         return out
 
+    def bits(self, texts: list[str | None], langs: list[str]) -> np.ndarray:
+        """Mean bits per code point of each text, which is its log2 perplexity; 0 for empty texts."""
+        return self.totals(texts, langs) / np.maximum([len(t or "") for t in texts], 1)
+
+
+#: The two code points before the last decide the shard.
+_PAIR = (1 << 2 * BITS) - 1
+
+
+def _shard_of(contexts: np.ndarray, n: int) -> np.ndarray:
+    """The shard of n-grams by their context; equal to ``_shard_column``."""
+    return (xxhash64(contexts & _PAIR).view(np.int64) % n).astype(np.int64)
+
+
+def _shard_column(context, n: int):
+    return F.pmod(F.xxhash64(context.bitwiseAND(_PAIR)), F.lit(n))
+
+
+class Model:
+    """The fitted tables: per order (lang, gram, u) and (lang, context, b), in shards of bounded size."""
+
+    def __init__(self, orders: dict[int, tuple[DataFrame, DataFrame]], shards: int):
+        self.orders, self.shards = orders, shards
+
+    def shard(self, k: int) -> KneserNey:
+        """Sorted hash arrays of one shard; orders whose contexts are shorter than two code points are in all of them."""
+        tables: dict[tuple[str, int, str], tuple] = {}
+        for order, (u, back) in self.orders.items():
+            for kind, frame, key, value, context in (("u", u, "gram", "u", F.shiftright("gram", BITS)), ("b", back, "context", "b", F.col("context"))):
+                if self.shards > 1 and order > 2:
+                    frame = frame.where(_shard_column(context, self.shards) == k)
+                got = frame.select("lang", F.col(key).alias("k"), F.col(value).cast("float").alias("v")).toArrow()
+                langs = got.column("lang").combine_chunks().dictionary_encode()
+                code, keys, values = langs.indices.to_numpy(zero_copy_only=False), got.column("k").to_numpy(), got.column("v").to_numpy()
+                for i, lang in enumerate(langs.dictionary.to_pylist()):
+                    own = code == i
+                    by = np.argsort(keys[own])
+                    tables[lang, order, kind] = keys[own][by], values[own][by]
+        return KneserNey(tables)
+
 
 def _discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts by language from the counts of counts."""
@@ -191,66 +239,42 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang").agg(*n).select("lang", *d)
 
 
-def _cutoffs(counts: DataFrame, bound: int) -> dict[str, int]:
-    """Per language the least count c so that at most ``bound`` of its n-grams occur c times or more."""
-    step = F.when(F.col("c") < 256, F.col("c")).otherwise(F.pow(F.lit(2), F.floor(F.log2("c"))).cast("long"))
-    bars: dict[str, list] = {}
-    for r in counts.groupBy("lang", step.alias("c")).agg(F.count("*").alias("n")).collect():
-        bars.setdefault(r.lang, []).append((r.c, r.n))
-    return {lang: _cutoff(own, bound) for lang, own in bars.items()}
-
-
-def _cutoff(bars: list[tuple[int, int]], bound: int) -> int:
-    total, cut = 0, 1
-    for c, n in sorted(bars, reverse=True):
-        total += n
-        if total > bound:
-            return cut
-        cut = c
-    return 1
-
-
 def fit(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeat: int = 30,
-    max_symbols: float = 0.02, max_entries: int = 500_000,
-) -> KneserNey:
-    """The model of all reference documents; at most ``max_entries`` n-grams an order and language."""
+    max_symbols: float = 0.02, shard_entries: int = 4_000_000,
+) -> Model:
+    """The model of all reference documents, in shards of about ``shard_entries`` n-grams and contexts."""
     counts = materialize(count_grams(docs, text_col=text_col, lang_col=lang_col, min_words=min_words, max_repeat=max_repeat, max_symbols=max_symbols), "kn-counts")
-    tables: dict[tuple[str, int, str], list] = {}
+    orders, entries = {}, 0
     for order in range(ORDER, 0, -1):
-        # Each language has its own, so that text of one changes no verdict of another.
-        cuts = {k: c for k, c in _cutoffs(counts, max_entries).items() if c > 1}
-        cut = F.lit(1)
-        if cuts:
-            cut = F.coalesce(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])[F.col("lang")], F.lit(1))
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = Window.partitionBy("lang", "context")
         u = (
-            # One row per language: always small.
-            counts.join(F.broadcast(_discounts(counts)), "lang").withColumn("context", F.shiftright("gram", BITS))
-            .withColumn("u", (F.col("c") - d) / F.sum("c").over(context)).where(F.col("c") >= cut).select("lang", "gram", "context", "u")
+            few_rows(counts, _discounts(counts), "lang").withColumn("context", F.shiftright("gram", BITS))
+            .withColumn("u", (F.col("c") - d) / F.sum("c").over(Window.partitionBy("lang", "context"))).select("lang", "gram", "context", "u")
         )
         u = materialize(u, f"kn-u{order}")
-        back = u.groupBy("lang", "context").agg((1 - F.sum("u")).alias("b"))
-        for kind, frame, key, value in (("u", u, "gram", "u"), ("b", back, "context", "b")):
-            got = frame.select("lang", F.col(key).alias("k"), F.col(value).cast("float").alias("v")).toArrow()
-            langs = got.column("lang").combine_chunks().dictionary_encode()
-            code, keys, values = langs.indices.to_numpy(zero_copy_only=False), got.column("k").to_numpy(), got.column("v").to_numpy()
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                own = code == i
-                by = np.argsort(keys[own])
-                tables[lang, order, kind] = keys[own][by], values[own][by]
+        back = materialize(u.groupBy("lang", "context").agg((1 - F.sum("u")).alias("b")), f"kn-b{order}")
+        orders[order] = u, back
+        entries += u.count() + back.count()
         if order > 1:
             # Lower orders count the distinct code points to the left.
             counts = materialize(counts.groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1).alias("gram")).agg(F.count("*").alias("c")), f"kn-counts{order - 1}")
-    return KneserNey(tables)
+    return Model(orders, 1 + entries // shard_entries)
+
+
+def few_rows(rows: DataFrame, by_lang: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row a language; it is broadcast as long as there are few languages."""
+    by_lang = materialize(by_lang, "by-language")
+    return rows.join(F.broadcast(by_lang) if by_lang.count() <= MOST_BROADCAST else by_lang, key, how)
 
 
 def score(
-    docs: DataFrame, model: KneserNey, *, out: str = "quality", text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeat: int = 30,
+    docs: DataFrame, model: Model, *, out: str = "quality", text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeat: int = 30,
 ) -> DataFrame:
     """``docs`` with a struct column ``out``: the base counts, base_failed, and bits (log2 perplexity)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    share = docs.sparkSession.sparkContext.broadcast
+    lang = F.coalesce(F.col(lang_col), F.lit(""))
+    shared = share(model.shard(0)) if model.shards == 1 else None
     kinds = ", ".join([*(f"{k}: bigint" for k in BASE), "base_failed: boolean", "bits: double"])
 
     @F.pandas_udf(f"struct<{kinds}>")
@@ -258,43 +282,80 @@ def score(
         for text, lang in released(batches):
             texts = text.tolist()
             c = base_counts(texts)
-            yield pd.DataFrame({**c, "base_failed": base_failed(c, min_words, max_repeat), "bits": shared.value.bits(texts, lang.tolist())})
+            bits = shared.value.bits(texts, lang.tolist()) if shared else np.zeros(len(texts))
+            yield pd.DataFrame({**c, "base_failed": base_failed(c, min_words, max_repeat), "bits": bits})
+
+    docs = small_batches(docs)
+    if shared:
+        return docs.withColumn(out, measure(F.col(text_col), lang))
+    # Rows get a key that is written down, and pass over each shard.
+    key, total = (_unused(docs, n) for n in ("_row", "_total"))
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "quality-keyed")
+    sums = None
+    for k in range(model.shards):
+        some = _totals(share(model.shard(k)), k, model.shards)
+        part = materialize(keyed.select(key, some(F.col(text_col), lang).alias(total)), "quality-part")
+        sums = part if sums is None else sums.unionByName(part)
+    sums = sums.groupBy(key).agg(F.sum(total).alias(total))
+    mean = F.col(total) / F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1))
+    return keyed.withColumn(out, measure(F.col(text_col), lang)).join(sums, key).withColumn(out, F.col(out).withField("bits", mean)).drop(key, total)
+
+
+def _totals(shared, k: int, n: int):
+    """The bits of texts that one of n shards gives."""
+    @F.pandas_udf("double")
+    def some(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, lang in released(batches):
+            yield pd.Series(shared.value.totals(text.tolist(), lang.tolist(), (k, n)))
+
+    return some
+
 
-    return small_batches(docs).withColumn(out, measure(F.col(text_col), F.coalesce(F.col(lang_col), F.lit(""))))
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
-def bands(scored: DataFrame, *, out: str = "quality", lang_col: str = "lang", max_symbols: float = 0.02, spread: float = 6.0, least_documents: int = 50, least_width: float = 0.1) -> DataFrame:
+def bands(scored: DataFrame, *, out: str = "quality", lang_col: str = "lang", max_symbols: float = 0.02, spread: float = 6.0, prior: int = 50, least_width: float = 0.1) -> DataFrame:
     """Per language (band_lang) the middle and the half widths of its band, from its reference documents.
 
     The half width at n code points is wide + narrow / sqrt(n): ``spread`` robust standard deviations
     of the log perplexity of long texts, and of the scatter of short ones; wide is at least ``least_width``.
-    A language with fewer reference documents than ``least_documents`` has no band.
+    Both deviations are means of the language's own, weighted by its documents, and that of all languages, by ``prior``.
     """
     q = F.col(out)
     reference = scored.where(~q["base_failed"] & (q["n_symbols"] <= max_symbols * q["word_chars"])).select(
         F.coalesce(F.col(lang_col), F.lit("")).alias("band_lang"), q["bits"].alias("bits"), q["word_chars"].alias("n"))
-    middle = reference.groupBy("band_lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("middle"), F.count("*").alias("documents")).where(F.col("documents") >= least_documents).drop("documents")
-    off = reference.join(middle, "band_lang").withColumn("off", F.abs(F.col("bits") - F.col("middle")))
+    middle = reference.groupBy("band_lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("middle"), F.count("*").alias("documents"))
+    off = few_rows(reference, middle, "band_lang").withColumn("off", F.abs(F.col("bits") - F.col("middle")))
     width = off.groupBy("band_lang").agg(
+        F.first("middle").alias("middle"), F.first("documents").alias("documents"),
         F.percentile_approx("off", 0.5, 10000).alias("mad"), F.percentile_approx(F.col("off") * F.sqrt("n"), 0.5, 10000).alias("scatter"))
-    factor = spread * 1.4826
-    return middle.join(width, "band_lang").select("band_lang", "middle", F.greatest(F.col("mad") * factor, F.lit(least_width)).alias("wide"), (F.col("scatter") * factor).alias("narrow"))
+    every, factor = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), spread * 1.4826
+
+    def drawn(c):
+        # One row a language meets in this window.
+        pooled = F.sum(F.col(c) * F.col("documents")).over(every) / F.sum("documents").over(every)
+        return (F.col(c) * F.col("documents") + pooled * prior) / (F.col("documents") + prior) * factor
+
+    return width.select("band_lang", "middle", F.greatest(drawn("mad"), F.lit(least_width)).alias("wide"), drawn("scatter").alias("narrow"))
 
 
 def verdict(scored: DataFrame, band: DataFrame, *, out: str = "quality", lang_col: str = "lang") -> DataFrame:
     """``scored`` with the boolean ``kept`` added inside the struct column ``out``."""
-    q = F.col(out)
-    width = F.col("wide") + F.col("narrow") / F.sqrt(F.greatest(q["word_chars"], F.lit(1)))
-    inside = F.coalesce(F.abs(q["bits"] - F.col("middle")) <= width, F.lit(True))
-    joined = scored.join(band, F.coalesce(F.col(lang_col), F.lit("")) == F.col("band_lang"), "left")
-    return joined.withColumn(out, q.withField("kept", ~q["base_failed"] & inside)).drop("band_lang", "middle", "wide", "narrow")
+    q, key = F.col(out), _unused(scored, "_band_lang")
+    names = {c: _unused(scored, f"_{c}") for c in ("middle", "wide", "narrow")}
+    band = band.select(F.col("band_lang").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
+    width = F.col(names["wide"]) + F.col(names["narrow"]) / F.sqrt(F.greatest(q["word_chars"], F.lit(1)))
+    inside = F.coalesce(F.abs(q["bits"] - F.col(names["middle"])) <= width, F.lit(True))
+    joined = few_rows(scored.withColumn(key, F.coalesce(F.col(lang_col), F.lit(""))), band, key, "left")
+    return joined.withColumn(out, q.withField("kept", ~q["base_failed"] & inside)).drop(key, *names.values())
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    out = "quality"
-    while out in docs.columns:
-        out = f"_{out}"
-    # Scored rows are written once, texts included: neither the model runs twice nor do texts meet a join.
+    out = _unused(docs, "quality")
+    # Scored rows are written once, texts included: the model runs once, and the band is broadcast to them.
     scored = materialize(score(docs, fit(docs), out=out, **options), "quality-scored")
     return verdict(scored, bands(scored, out=out), out=out).where(F.col(f"{out}.kept")).select(*docs.columns)

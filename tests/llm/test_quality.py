@@ -1,4 +1,5 @@
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -45,15 +46,79 @@ def model(spark, plain, **options):
 
 
 def test_kneser_ney_is_a_distribution(spark, plain):
-    for bound in (500_000, 40):
-        _, kn = model(spark, plain, max_entries=bound)
-        every = np.arange(1 << Q.BITS, dtype=np.int64)
-        for context in ("alph", " bet", "qqqq", "a ga"):
-            head = 0
-            for c in context:
-                head = head << Q.BITS | ord(c)
-            assert abs((2 ** kn.log2("en", head << Q.BITS | every)).sum() - 1) < 1e-3
-        assert all(len(k) <= bound for (_, _, kind), (k, _) in kn.tables.items() if kind == "u")
+    _, fitted = model(spark, plain)
+    kn = fitted.shard(0)
+    every = np.arange(1 << Q.BITS, dtype=np.int64)
+    for context in ("alph", " bet", "qqqq", "a ga"):
+        head = 0
+        for c in context:
+            head = head << Q.BITS | ord(c)
+        assert abs((2 ** kn.log2("en", head << Q.BITS | every)).sum() - 1) < 1e-3
+
+
+def plain_kneser_ney(texts):
+    """The model by its definition: probability of the last of five characters."""
+    grams = Counter(("\0\0\0\0" + t)[i : i + 5] for t in texts for i in range(len(t)))
+    tables = {}
+    for order in range(5, 0, -1):
+        n = [sum(c == k for c in grams.values()) for k in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) if n[k] and n[k + 1] else 0.5 for k in (1, 2, 3))]
+        total = Counter()
+        for g, c in grams.items():
+            total[g[:-1]] += c
+        u = {g: (c - d[min(c, 3)]) / total[g[:-1]] for g, c in grams.items()}
+        left = Counter({k: 1.0 for k in total})
+        for g, x in u.items():
+            left[g[:-1]] -= x
+        tables[order] = u, dict(left)
+        grams = Counter(g[1:] for g in grams)
+
+    def p(g, order=5):
+        if not order:
+            return 1 / 4096
+        u, left = tables[order]
+        own = g[5 - order :]
+        return u.get(own, 0.0) + left.get(own[:-1], 1.0) * p(g, order - 1)
+
+    return p
+
+
+def packed(g):
+    out = 0
+    for c in g:
+        out = out << Q.BITS | ord(c)
+    return out
+
+
+def test_model_equals_definition_in_two_languages(spark, plain):
+    rng = np.random.default_rng(4)
+    own = {"en": ["alpha", "beta", "gama"], "fr": ["chat", "noir", "été", "x"]}
+    rows = [(i, " ".join(rng.choice(own[lang], 25)), lang, "a", 1) for i, lang in enumerate(["en", "fr", "fr", "en"] * 6)]
+    kn = Q.fit(spark.createDataFrame(rows, plain), max_repeat=100).shard(0)
+    for lang in own:
+        p = plain_kneser_ney([r[1] for r in rows if r[2] == lang])
+        for g in ["alpha", "\0\0\0\0a", "\0\0\0\0c", "a bet", "chat ", " été ", "zzzzz", "aalph", "x noi", "qrst\x7f"]:
+            assert np.isclose(kn.log2(lang, np.array([packed(g)]))[0], np.log2(p(g)), atol=1e-4), (lang, g)
+
+
+def test_shards_add_up_to_the_whole(spark, plain):
+    docs, whole = model(spark, plain)
+    _, dealt = model(spark, plain, shard_entries=60)
+    assert whole.shards == 1 and dealt.shards > 2
+    rest = spark.createDataFrame([(70, None, "en", "a", 1), (71, "", None, "a", 1), (72, "zz \u4e2d\u6587 alpha", "en", "a", 1), (72, "zz", None, None, None)], plain)
+    both = docs.unionByName(rest).withColumn("_row", F.lit("x"))
+    got, want = (sorted((r.doc_id, r.quality.bits, r.quality.n_words, r._row) for r in Q.score(both, m, max_repeat=100).collect()) for m in (dealt, whole))
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want]) and [x[2:] for x in got] == [x[2:] for x in want]
+
+
+def test_a_small_language_rejects_junk(spark, plain):
+    rng = np.random.default_rng(6)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(80)] for lang, letters in (("en", "abcdefgh"), ("fr", "ijklmnop"))}
+    rows = [(i, " ".join(rng.choice(words["en"], 120)), "en", "a", 1) for i in range(80)] + [(100 + i, " ".join(rng.choice(words["fr"], 120)), "fr", "a", 1) for i in range(10)]
+    rows += [(200 + k, " ".join("".join(rng.choice(list(letters), 5)) for _ in range(120)), lang, "a", 1) for k, (lang, letters) in enumerate((("en", "abcdefgh"), ("fr", "ijklmnop")))]
+    kept = {r.doc_id for r in Q.keep_good(spark.createDataFrame(rows, plain)).collect()}
+    assert not kept & {200, 201} and len([i for i in kept if i >= 100]) == 10 and len(kept) >= 88
 
 
 def test_bands_reject_strange_texts(spark, plain):
@@ -118,7 +183,31 @@ def test_text_of_one_language_leaves_another_alone(spark, plain):
     few, many = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"], ["".join(rng.choice(list("ijklmnop"), 6)) for _ in range(400)]
     small = [(i, " ".join(rng.choice(few, 40)), "en", "a", 1) for i in range(60)]
     more = [(100 + i, " ".join(rng.choice(many, 40)), "fr", "a", 1) for i in range(200)]
-    alone, both = (Q.fit(spark.createDataFrame(rows, plain), max_repeat=100, max_entries=600) for rows in (small, small + more))
+    alone, both = (Q.fit(spark.createDataFrame(rows, plain), max_repeat=100).shard(0) for rows in (small, small + more))
     texts = [r[1] for r in small] + ["omega alpha zz"]
-    assert len(both.tables["fr", 5, "u"][0]) <= 600
     assert np.array_equal(alone.bits(texts, ["en"] * 61), both.bits(texts, ["en"] * 61))
+
+
+def plain_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    kinds = Counter("newline" if c == "\n" else "space" if c in "\t\x0b\x0c\r " else "bang" if c == "!" else "stop" if c in ".,;:?'\"()-" else "symbol" if c in string.punctuation
+                    else "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.isalpha() else "other" for c in text)
+    n, m = max(len(text), 1), max(len(words), 1)
+    ink, letters = max(len(text) - kinds["space"] - kinds["newline"], 1), max(kinds["upper"] + kinds["lower"], 1)
+    true_ink = len(text) - kinds["space"] - kinds["newline"]
+    return [
+        np.log1p(len(text)), np.log1p(len(words)), max(true_ink, 1) / m, kinds["upper"] / letters, kinds["digit"] / ink, kinds["space"] / n, kinds["newline"] / n, kinds["bang"] / ink,
+        kinds["stop"] / ink, kinds["symbol"] / ink, len(set(words)) / m, max(Counter(words).values(), default=0) / m, sum(a == b for a, b in zip(words, words[1:])) / m,
+        brute(text)[4] / m, (len(lines) - len(set(lines))) / max(len(lines), 1), np.log1p(len(words) / max(len(lines), 1)),
+    ]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAb1! .\n#\t\u00e9\u4e2d|", max_size=150)), max_size=6))
+def test_statistics_equal_their_definition(texts):
+    got = C.statistics_of(texts)
+    assert list(got.columns) == C.STATISTICS
+    for i, t in enumerate(texts):
+        assert np.allclose(got.iloc[i].to_numpy(), plain_statistics(t)), t
