@@ -45,7 +45,8 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def counts(texts: list[str | None]) -> np.ndarray:
     """(len(texts), DIM) n-gram counts."""
-    cp = np.frombuffer(("\0\0" + "\0\0".join(t or "" for t in texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    # Each text has a pad on both sides of its own.
+    cp = np.frombuffer(("\0" + "\0\0".join(t or "" for t in texts) + "\0\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     doc = np.repeat(np.arange(len(texts)), [len(t or "") + 2 for t in texts])
     doc = np.append(doc, len(texts) - 1)
     low = np.minimum(cp, 0xD7FF)

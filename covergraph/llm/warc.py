@@ -109,7 +109,7 @@ def write_archives(
     id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
 ) -> DataFrame:
     """Writes the archives; returns their manifest (file, records)."""
-    folder = fresh_path(pages.sparkSession, "warc")
+    folder = fresh_path(pages.sparkSession, "warc", keep=True)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     own = F.coalesce("id", F.lit(-(1 << 63)))
