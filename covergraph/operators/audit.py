@@ -36,13 +36,15 @@ def audit_balls(reference: DataFrame, approximate: DataFrame, balls: DataFrame)
 
 def audit_witness(reference: DataFrame, approximate: DataFrame) -> DataFrame:
     """Per edge of either graph: counts, retained, lost and added witnesses, change, retained_fraction (NaN for new edges), status."""
-    both = _both(reference, approximate)
-    left = both.select("point_id", F.col("ball_id").alias("src"), F.col("r").alias("r1"), F.col("a").alias("a1"))
-    right = both.select("point_id", F.col("ball_id").alias("dst"), F.col("r").alias("r2"), F.col("a").alias("a2"))
-    r, a = (F.col("r1") + F.col("r2")) == 2, (F.col("a1") + F.col("a2")) == 2
-    counted = left.join(right, "point_id").where((F.col("src") < F.col("dst")) & (r | a)).groupBy("src", "dst").agg(
-        F.count_if(r).alias("reference_count"), F.count_if(a).alias("approximate_count"), F.count_if(r & a).alias("retained_witnesses"),
-        F.count_if(r & ~a).alias("lost_witnesses"), F.count_if(a & ~r).alias("added_witnesses"))
+    # Points that lie in the same balls on the same sides are one pattern with a weight before pairs are made.
+    held = _both(reference, approximate).groupBy("point_id").agg(F.sort_array(F.collect_set(F.struct("ball_id", "r", "a"))).alias("b")).where(F.size("b") > 1)
+    first = held.groupBy("b").agg(F.count("*").alias("w")).select("b", "w", F.posexplode("b").alias("i", "x"))
+    pairs = first.select("w", "x", F.explode(F.slice("b", F.col("i") + 2, F.size("b"))).alias("y"))
+    r, a = (F.col("x.r") + F.col("y.r")) == 2, (F.col("x.a") + F.col("y.a")) == 2
+    weight = lambda where: F.sum(F.when(where, F.col("w")).otherwise(0)).cast("long")
+    counted = pairs.where(r | a).groupBy(F.col("x.ball_id").alias("src"), F.col("y.ball_id").alias("dst")).agg(
+        weight(r).alias("reference_count"), weight(a).alias("approximate_count"), weight(r & a).alias("retained_witnesses"),
+        weight(r & ~a).alias("lost_witnesses"), weight(a & ~r).alias("added_witnesses"))
     n = F.col("reference_count")
     return counted.select(
         "*", (F.col("approximate_count") - n).alias("change"), F.when(n > 0, F.col("retained_witnesses") / n).otherwise(F.lit(float("nan"))).alias("retained_fraction"),
@@ -115,6 +117,8 @@ class ApproximationAudit:
 def compare_covers(reference: DataFrame, approximate: DataFrame, balls: DataFrame, *, points: DataFrame | None = None, landmarks=None, eps: float | None = None,
                    metric: str = "euclidean", deltas=None, values: DataFrame | None = None) -> ApproximationAudit:
     """All comparisons of two covers of the same landmarks; points, landmarks and eps together add boundary diagnostics."""
+    if balls.count() != balls.select("ball_id").distinct().count() or not reference.select("ball_id").unionByName(approximate.select("ball_id")).join(balls, "ball_id", "left_anti").isEmpty():
+        raise ValueError("both covers need the same balls")
     given = [x is not None for x in (points, landmarks, eps)]
     if any(given) and not all(given):
         raise ValueError("points, landmarks and eps go together")
