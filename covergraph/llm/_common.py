@@ -58,8 +58,8 @@ def _release() -> None:
 
 
 def crc_mod(column: str, divisor: int):
-    """crc32 of the id written as text, modulo ``divisor``: the fixed folds of the queries."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+    """crc32 of the id written as text, modulo ``divisor``: the fixed folds of the queries. A null id is in no fold: -1."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(-1))
 
 
 class KeyFilter:

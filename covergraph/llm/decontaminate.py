@@ -15,7 +15,8 @@ several tasks where there are many, and equal runs are matched once, however man
 
 Nulls and empties: a null or empty text has no words; items without words have no window; null item
 ids count as an item named ``null``. Repeated documents and repeated ids are separate rows, repeated
-items share their windows. Texts of any length are streamed whole. Empty tables give no rows or no hits.
+items share their windows. Texts of any length are streamed whole. Ids are whole
+numbers (or text that reads as such), item ids are anything. Empty tables give no rows or no hits.
 Only the named columns are read.
 """
 

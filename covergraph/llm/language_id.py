@@ -9,8 +9,9 @@ of its language in the sample are, and further than ``least_reach``.
 
 Nulls and ties: rows without a language teach nothing. A null text or one without a letter gets
 ``und``, score 0 and is rejected. Equal cosines go to the language that is first in code point order.
-If there is nothing to learn from, every text gets ``und``. Repeated rows count each time. Only the
-named columns are read; the model is DIM numbers per centroid, whatever the input.
+If there is nothing to learn from, every text gets ``und``. Repeated rows count each time. Texts of any
+length are read whole; of learning texts the driver holds about ``sample`` a language. Only the
+named columns are read, so others may have any name; the model is DIM numbers per centroid, whatever the input.
 """
 
 from __future__ import annotations

@@ -86,7 +86,7 @@ def mix(
         "mix-sizes",
     )
     buckets = LEAST_BUCKETS + sizes.count() // ROWS_PER_BUCKET
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null|"), F.col("size").cast("string")))), 1, 8), 16, 10).cast("long")
     rows = sizes.withColumn("class", size_class()).withColumn("bucket", hashed % buckets)
     cell = ["key", "class", "bucket"]
     running = Window.partitionBy("key").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -141,7 +141,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER q, 0))::DOUBL
 f AS (SELECT arg_min(level, (cap / w, k)) AS level FROM l WHERE cap >= level * w),
 t AS (SELECT k, source_size, least(cap, coalesce((SELECT level FROM f) * w, cap)) AS target FROM l),
 b AS (SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)::INT) & 7) AS class,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (16 + (SELECT count(*) FROM d) // 500000) AS bucket FROM d),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null|' || size::VARCHAR)), 1, 8))::BIGINT % (16 + (SELECT count(*) FROM d) // 500000) AS bucket FROM d),
 p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY class, bucket, size, doc_id NULLS FIRST) AS pos FROM b),
 c AS (SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
     ('0x' || substr(md5('mix|' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p JOIN t USING (k))

@@ -18,7 +18,8 @@ and whose signature sketches do not differ far more than chance explains at the
 Nulls and empties: a null text and a text without words have no shingles; equal ones are exact
 copies (null texts are copies of each other). A text with fewer words than a shingle is one shingle.
 Null ids are left as classes of their own. Different texts under one id are different documents, which
-may have different classes; equal rows are one document. Texts of any length are read whole. An empty
+may have different classes; equal rows are one document. Texts of any length are read whole. Ids are whole
+numbers (or text that reads as such). An empty
 table gives no rows. Only the named columns are read.
 """
 

@@ -11,7 +11,7 @@ Learning uses a sample of at most about ``sample`` labelled rows, chosen by a ha
 Nulls and empties: a null text is an empty one; all its shares are 0 and it is scored like any
 other. Null labels teach nothing; a document with several label rows teaches each of them. With
 labels of one kind only, or none, the score is their share (0.5 without any). Repeated rows are scored
-each. Only the named columns are read.
+each. Texts of any length are read whole. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ dealt again by the minimizers of another hash. Contents are aggregated before th
 
 Nulls and ties: a null text is empty and nothing is removed from it; null ids come first. Rows that
 share an id are ordered by a digest of their text; equal rows are one document and are treated alike.
-Empty tables give no rows. Texts shorter than ``length`` stay. Documents have no common windows.
+Ids are whole numbers (or text that reads as such). Empty tables give no rows. Texts shorter than ``length`` stay. Documents have no common windows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ that ends before its length.
 Skew. Revisits are found by digest, without payloads, so that many copies of one page are light rows;
 the payload of a response is not shuffled.
 
-Nulls: a null payload is an empty one, a null URL is left out. Empty tables give no archive and no
+Nulls: a null payload is an empty one, a null URL is left out. Ids are whole numbers (or text that reads as
+such). Empty tables give no archive and no
 rows. Only the named columns are read.
 """
 
