@@ -119,7 +119,7 @@ def block_join(
 ) -> DataFrame:
     """Exhaustive join in Arrow blocks: (ball_id, point_id), with dist on request. ``single``: in float32; ``held``: the queries' blocks, if they are known."""
     eps = check_radius(eps)
-    dim = dimension(points)
+    dim = held[0].vec.shape[1] if held else dimension(points)
 
     def kernel(ids, x, block):
         near = kernels.within_float32(x, block.vec, eps, metric) if single else kernels.within(x, block.vec, eps, metric, p)
