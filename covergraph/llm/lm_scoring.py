@@ -13,8 +13,8 @@ the discounts leave, spelled id by id until the model expects the next word. Bot
 whole is a distribution over texts. Beside this score stands a base score, add-one word frequencies.
 
 What comes from the corpus: word counts over all learning rows, and from them the discounts and the
-frequencies of all ids. One span of ``SPAN`` words in ``every``, over all learning rows, gives the neighbours
-that put ids into classes and trains the weights, which start from about ``sample_chars`` characters of
+frequencies of all ids. All ids of all learning rows, numbered once, give the neighbours that put ids into
+classes, and each window of them trains the weights, which start from about ``sample_chars`` characters of
 learning rows, chosen by a hash: partitions train apart and are averaged, in ``SLICES`` turns.
 Counts of the ``head_words`` most frequent words are broadcast as sorted hash arrays; other words of a
 text meet their counts in a join, so the count table may be of any size. Words are joined by 64-bit hash.
@@ -44,6 +44,7 @@ WINDOW, STRIDE = 32, 16
 WIDTH, HIDDEN = 16, 32
 #: Classes of ids that start a word (the end mark has one of its own), of other ids, and how many of each kind are single ids.
 STARTS, INNER, SINGLES = 48, 80, 24
+#: Ids of the model are kept in 16 bits.
 VOCABULARY = 8192
 #: Ids whose neighbourhood tells the classes of others; turns after which weights are averaged; words in a span of training; windows trained on at a time.
 NEAR, SLICES, SPAN, CHUNK = 200, 4, 64, 1 << 15
@@ -141,58 +142,85 @@ class Attention:
     def train(self, windows: tuple[np.ndarray, np.ndarray, np.ndarray], order: np.ndarray, batch: int, rate: float) -> None:
         """Adam over ``order`` of windows (input ids (n, WINDOW), next ids of the second halves or -1, whether the first half is void)."""
         x_all, y_all, first_all = windows
-        w, mean, square = self.w, {n: np.zeros_like(p) for n, p in self.w.items()}, {n: np.zeros_like(p) for n, p in self.w.items()}
-        hidden_from = np.where(_context_mask(), 0, -1e9).astype(np.float32)
-        scale, half = np.float32(WIDTH**-0.5), WINDOW - STRIDE
+        # Weights and what belongs to each lie in one array, of which parts are seen by name.
+        cut = np.cumsum([p.size for p in self.w.values()])[:-1]
+        named = lambda a: {n: part.reshape(p.shape) for (n, p), part in zip(self.w.items(), np.split(a, cut))}
+        weights = np.concatenate([p.ravel() for p in self.w.values()])
+        mean, square, grad, some = (np.zeros_like(weights) for _ in range(4))
+        w = self.w = named(weights)
+        g, seen = named(grad), _context_mask().astype(np.float32)
+        scale, half, ones = np.float32(WIDTH**-0.5), WINDOW - STRIDE, np.ones((max(WINDOW, STARTS, INNER), 1), np.float32)
         rounds = -(-len(order) // batch)
-        columns = np.arange(STARTS + INNER)
         for t in range(1, rounds + 1):
             at = order[(t - 1) * batch : t * batch]
             x, y = x_all[at], y_all[at].ravel()
             real = y >= 0
             y = np.maximum(y, 0)
-            starts, cls = self.starts[y], self.class_of[y]
-            e = w["emb"][x]
+            starts, cls, share = self.starts[y], self.class_of[y], np.float32(1 / max(1, real.sum()))
+            e = w["emb"].take(x, axis=0)
             flat, own = e.reshape(-1, WIDTH), e[:, half:]
-            flat_own = own.reshape(-1, WIDTH)
+            flat_own, key_value = own.reshape(-1, WIDTH), np.concatenate([w["k"], w["v"]], axis=1)
             q = (flat_own @ w["q"]).reshape(own.shape)
-            k, v = ((flat @ w[n]).reshape(e.shape) for n in "kv")
-            a = q @ k.transpose(0, 2, 1) * scale + (w["bias"] + hidden_from)
-            a[first_all[at], :, :half] -= np.float32(1e9)
-            a -= a.max(axis=2, keepdims=True)
-            np.exp(a, out=a)
-            a /= a.sum(axis=2, keepdims=True)
+            q *= scale
+            kv = (flat @ key_value).reshape(*x.shape, 2 * WIDTH)
+            k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+            a = q @ k.transpose(0, 2, 1)
+            a += w["bias"]
+            a = _exp(a)
+            a *= seen
+            a[np.flatnonzero(first_all[at]), :, :half] = 0
+            a /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(len(x), STRIDE, 1)
             both = np.concatenate([own, a @ v], axis=2).reshape(-1, 2 * WIDTH)
-            h = np.maximum(both @ w["w1"] + w["b1"], 0)
-            out = h @ w["w2"] + w["b2"]
-            p, kind = out[:, :-1], 1 / (1 + np.exp(-np.clip(out[:, -1], -30, 30)))
+            h = both @ w["w1"]
+            h += w["b1"]
+            np.maximum(h, 0, out=h)
+            kind = 1 / (1 + np.exp(-np.clip(h @ w["w2"][:, -1] + w["b2"][-1], -30, 30)))
+            d_kind = (kind - starts) * real * share
+            dh = np.outer(d_kind, w["w2"][:, -1])
+            g["w2"][:, -1], g["b2"][-1] = d_kind @ h, d_kind.sum()
             # The class is one of the kind's.
-            p = np.where((columns < STARTS) == starts[:, None], p, np.float32(-1e9))
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), cls] -= 1
-            d_out = np.concatenate([p, (kind - starts)[:, None]], axis=1).astype(np.float32) * (real / max(1, real.sum()))[:, None].astype(np.float32)
-            g = {"w2": h.T @ d_out, "b2": d_out.sum(axis=0)}
-            dh = (d_out @ w["w2"].T) * (h > 0)
-            g["w1"], g["b1"] = both.T @ dh, dh.sum(axis=0)
+            for there, of in ((real & starts, slice(0, STARTS)), (real & ~starts, slice(STARTS, STARTS + INNER))):
+                rows = np.flatnonzero(there)
+                h_of, w_of = h.take(rows, axis=0), w["w2"][:, of]
+                p = h_of @ w_of
+                p += w["b2"][of]
+                p = _exp(p)
+                p /= p @ ones[: p.shape[1]]
+                p[np.arange(len(rows)), cls[rows] - of.start] -= 1
+                p *= share
+                g["w2"][:, of], g["b2"][of] = h_of.T @ p, p.sum(axis=0)
+                dh[rows] += p @ w_of.T
+            dh *= h > 0
+            g["w1"][:], g["b1"][:] = both.T @ dh, dh.sum(axis=0)
             db = (dh @ w["w1"].T).reshape(len(x), STRIDE, 2 * WIDTH)
-            de, dz = np.zeros_like(e), db[:, :, WIDTH:]
-            da, dv = dz @ v.transpose(0, 2, 1), (a.transpose(0, 2, 1) @ dz).reshape(-1, WIDTH)
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            g["bias"] = ds.sum(axis=0)
-            ds *= scale
-            dq, dk = (ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-            g["q"], g["k"], g["v"] = flat_own.T @ dq, flat.T @ dk, flat.T @ dv
-            de[:, half:] = db[:, :, :WIDTH] + (dq @ w["q"].T).reshape(own.shape)
-            de += (dk @ w["k"].T + dv @ w["v"].T).reshape(e.shape)
-            g["emb"] = np.zeros_like(w["emb"])
-            np.add.at(g["emb"], x.ravel(), de.reshape(-1, WIDTH))
+            dz = db[:, :, WIDTH:]
+            da = dz @ v.transpose(0, 2, 1)
+            da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+            da *= a
+            g["bias"][:] = da.sum(axis=0)
+            dq = (da @ k).reshape(-1, WIDTH)
+            dq *= scale
+            d_kv = np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2).reshape(-1, 2 * WIDTH)
+            both_kv = flat.T @ d_kv
+            g["q"][:], g["k"][:], g["v"][:] = flat_own.T @ dq, both_kv[:, :WIDTH], both_kv[:, WIDTH:]
+            de = (d_kv @ key_value.T).reshape(e.shape)
+            de[:, half:] += db[:, :, :WIDTH]
+            de[:, half:] += (dq @ w["q"].T).reshape(own.shape)
+            g["emb"][:] = np.bincount((x.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)).ravel(), de.ravel(), w["emb"].size).reshape(w["emb"].shape)
             step = np.float32(rate * min(1.0, t / min(100, 1 + rounds // 10)) * (1 - 0.9 * t / rounds) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
-            for n, d in g.items():
-                mean[n] += np.float32(0.1) * (d - mean[n])
-                square[n] += np.float32(0.01) * (d * d - square[n])
-                w[n] -= step * mean[n] / (np.sqrt(square[n]) + np.float32(1e-8))
+            # In place: mean and square follow the gradient, weights go by their ratio.
+            np.subtract(grad, mean, out=some)
+            some *= np.float32(0.1)
+            mean += some
+            np.multiply(grad, grad, out=some)
+            some -= square
+            some *= np.float32(0.01)
+            square += some
+            np.sqrt(square, out=some)
+            some += np.float32(1e-8)
+            np.divide(mean, some, out=some)
+            some *= step
+            weights -= some
 
     def ready(self) -> Forward:
         return Forward(self)
@@ -205,6 +233,11 @@ class Attention:
         return self.ready()(own, counts)
 
 
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place; what would leave floats in a sum is drawn to its bounds."""
+    return np.exp(np.clip(x, np.float32(-60), np.float32(60), out=x), out=x)
+
+
 #: Exponents of two between which ratios and sums stay inside floats.
 _LEAST, _MOST = (np.float32((127 + e) * (1 << 23)) for e in (-55, 55))
 
@@ -372,38 +405,62 @@ def _id_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def _neighbours(rows: DataFrame, path: str, model: Attention, near: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often ids stand before and after the most frequent ones in spans of all rows: keys id * 2 * NEAR + column, and counts; the vocabulary bounds their number."""
+def _numbered(rows: DataFrame, path: str, model: Attention, every: int, seed: int) -> DataFrame:
+    """(slice, ids, counts, begins, ends): as bytes, the model's ids of what trains and of its pieces how many each has and whether it begins and ends its text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subwords = Subwords.of(path)
+        for batch in released(batches):
+            texts, turn = batch["text"].tolist(), batch["slice"].to_numpy()
+            for a, b in _parts(texts):
+                pieces, begins, ends, own = [], [], [], []
+                for text, k in zip(texts[a:b], turn[a:b]):
+                    for words, first, last in _pieces(text, every):
+                        pieces.append(words), begins.append(first), ends.append(last), own.append(k)
+                ids, counts, _ = _own_ids(pieces, subwords, shared.value)
+                ids, counts, own, begins, ends = ids.astype(np.int16), counts.astype(np.int32), np.array(own), np.array(begins, bool), np.array(ends, bool)
+                for k in np.unique(own):
+                    there = own == k
+                    yield pd.DataFrame({"slice": [k], "ids": [ids[np.repeat(there, counts)].tobytes()], **{n: [x[there].tobytes()] for n, x in (("counts", counts), ("begins", begins), ("ends", ends))}})
+
+    turn = F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(SLICES)).cast("int")
+    return rows.select("text", turn.alias("slice")).mapInPandas(run, "slice int, ids binary, counts binary, begins binary, ends binary")
+
+
+def _neighbours(numbered: DataFrame, model: Attention, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often ids stand before and after the most frequent ones: keys id * 2 * NEAR + column, and counts; the vocabulary bounds their number."""
     column = np.full(len(model.starts), -1)
     column[near] = np.arange(len(near))
-    shared = rows.sparkSession.sparkContext.broadcast((model, column))
+    shared = numbered.sparkSession.sparkContext.broadcast(column)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, col = shared.value
+        col = shared.value
         total = np.zeros(len(col) * 2 * NEAR, np.int64)
         for batch in released(batches):
-            ids, counts, _ = _own_ids(_spans(batch["text"].tolist(), every)[0], Subwords.of(path), own)
-            inside = np.ones(len(ids), bool)
-            inside[np.cumsum(counts) - counts] = inside[np.cumsum(counts) - 1] = False
-            b = np.flatnonzero(inside)
-            for one, other, shift in ((ids[b], ids[b - 1], 0), (ids[b - 1], ids[b], NEAR)):
-                ok = col[other] >= 0
-                keys, times = np.unique(one[ok].astype(np.int64) * 2 * NEAR + col[other[ok]] + shift, return_counts=True)
-                total[keys] += times
+            for ids, counts in zip(batch["ids"], batch["counts"]):
+                ids, end = np.frombuffer(ids, np.int16).astype(np.int64), np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)
+                inside = np.ones(len(ids), bool)
+                inside[np.append(0, end[:-1])] = inside[end - 1] = False
+                b = np.flatnonzero(inside)
+                for one, other, shift in ((ids[b], ids[b - 1], 0), (ids[b - 1], ids[b], NEAR)):
+                    ok = col[other] >= 0
+                    np.add.at(total, one[ok] * 2 * NEAR + col[other[ok]] + shift, 1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"k": at, "c": total[at]})
 
-    got = rows.select("text").mapInPandas(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
+    got = numbered.select("ids", "counts").mapInPandas(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     return got.column("k").to_numpy().astype(np.int64), got.column("c").to_numpy()
 
 
 def fit(
     learning: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", vocabulary: str | None = None, head_words: int = 1 << 19,
-    sample_chars: int = 4_000_000, rounds: int = 2500, epochs: int = 4, every: int = 16, batch: int = 64, rate: float = 0.01, seed: int = 11,
+    sample_chars: int = 4_000_000, rounds: int = 2500, epochs: int = 4, every: int = 1, batch: int = 64, rate: float = 0.01, seed: int = 11,
 ) -> tuple[Scorer, DataFrame]:
     """The scorer, and the table (h, c, p: discounted share of its class) of words whose counts it does not hold.
 
-    The start takes ``epochs`` passes over the sample, ``rounds`` batches at most.
+    The start takes ``epochs`` passes over the sample, ``rounds`` batches at most; then all learning rows train, whatever it took.
+    A caller's ``every`` above 1 leaves only one span of ``SPAN`` words in so many to neighbours and training.
     """
     path = vocabulary or default_vocabulary()
     subwords = Subwords.of(path)
@@ -427,14 +484,15 @@ def fit(
     rare[known] = rare[-1] = 0
     frequency[OTHER], frequency[OTHER_START] = rare[~subwords.starts].sum(), rare[subwords.starts].sum()
     near = (np.argsort(-frequency[_MARKS:], kind="stable") + _MARKS)[:NEAR]
-    model.class_of = _classes(*_neighbours(rows, path, model, near, every), frequency, model.starts)
+    numbered = materialize(_numbered(rows, path, model, every, seed + 1), "lm-ids")
+    model.class_of = _classes(*_neighbours(numbered, model, near), frequency, model.starts)
     # An id's share of its class, add-one; ids outside the vocabulary share theirs evenly.
     per_class = np.bincount(model.class_of, weights=frequency + 1, minlength=STARTS + INNER)
     model.log_share = np.log2((frequency + 1) / per_class[model.class_of])
     model.log_share[[OTHER, OTHER_START]] -= np.log2(len(raw))
     model.w["b2"][:-1] = np.log(per_class + 1) - np.log(per_class.sum() + 1)
 
-    # The sample gives a start; spans of every learning row then train in one of the slices.
+    # The sample gives a start; every window of every learning row then trains in one of the slices.
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     unit = F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(unit < min(1.0, sample_chars / max(chars, 1))).select("text").toPandas()["text"].sort_values().tolist()
@@ -442,8 +500,7 @@ def fit(
     if len(start[0]):
         model.train(start, np.concatenate([rng.permutation(len(start[0])) for _ in range(epochs)])[: rounds * batch], batch, rate)
     for k in range(SLICES):
-        part = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(seed + 1)), F.lit(SLICES)) == k)
-        _train_parts(part, path, model, every, batch, rate / 4 * (1 - k / SLICES), seed + k)
+        _train_parts(numbered.where(F.col("slice") == k), model, batch, rate / 4 * (1 - k / SLICES), seed + k)
 
     classed = materialize(_classed(words, path, model), "lm-classed")
     discount, size, left = _masses(classed)
@@ -500,34 +557,47 @@ def _spans(texts: list[bytes], every: int) -> tuple[list[list[bytes]], list[bool
     return spans, begins, ends
 
 
+def _pieces(text: bytes, every: int) -> list[tuple[list[bytes], bool, bool]]:
+    """Words that train, whether they begin their text and whether they end it: the whole text, or one span in ``every``."""
+    return [(words_of(text), True, True)] if every == 1 else list(zip(*_spans([text], every)))
+
+
 def _windows(texts: list[bytes], every: int, subwords: Subwords, model: Attention) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows to train on, of the spans of some texts."""
-    spans, begins, last = _spans(texts, every)
-    ids, counts, _ = _own_ids(spans, subwords, model)
+    """Windows to train on, of some texts."""
+    pieces = [p for t in texts for p in _pieces(t, every)]
+    ids, counts, _ = _own_ids([p[0] for p in pieces], subwords, model)
+    return _cut_windows(ids, counts, np.array([p[1] for p in pieces], bool), np.array([p[2] for p in pieces], bool))
+
+
+def _cut_windows(ids: np.ndarray, counts: np.ndarray, begins: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over the ids of pieces in turn, as scored ones lie; the inputs of neighbours share memory."""
     if not len(counts):
-        return np.zeros((0, WINDOW), np.int32), np.zeros((0, STRIDE), np.int32), np.zeros(0, bool)
+        return np.zeros((0, WINDOW), np.int16), np.zeros((0, STRIDE), np.int16), np.zeros(0, bool)
+    counts = counts.astype(np.int64)
     ends = np.cumsum(counts)
-    # A span that does not begin its text has no start mark before it; its first block is context only.
+    # A piece that does not begin its text has no start mark before it; its first block is context only.
     blocks = -(-counts // STRIDE)
     begin = (np.cumsum(blocks) - blocks) * STRIDE
     place = np.arange(len(ids)) + np.repeat(begin - (ends - counts), counts)
-    x, y = np.full(int(blocks.sum()) * STRIDE + 1, END, np.int32), np.full(int(blocks.sum()) * STRIDE, -1, np.int32)
-    x[1 + place[:-1]] = ids[:-1]
-    x[begin] = START
+    n = int(blocks.sum())
+    x, y = np.full((n + 1) * STRIDE + 1, END, np.int16), np.full(n * STRIDE, -1, np.int16)
+    x[STRIDE + 1 + place[:-1]] = ids[:-1]
+    x[STRIDE + begin] = START
     y[place] = ids
-    y[place[ends - 1][~np.array(last)]] = -1
-    x, y = x[:-1].reshape(-1, STRIDE), y.reshape(-1, STRIDE)
-    first = np.zeros(len(x), bool)
+    y[place[ends - 1][~last]] = -1
+    first = np.zeros(n, bool)
     first[begin // STRIDE] = True
-    before = np.concatenate([np.full((1, STRIDE), END, np.int32), x[:-1]])
+    out = np.lib.stride_tricks.sliding_window_view(x[:-1], WINDOW)[::STRIDE], y.reshape(-1, STRIDE), first
+    if begins.all():
+        return out
     inside = ~first
-    inside[begin[np.array(begins)] // STRIDE] = True
-    return np.concatenate([before, x], axis=1)[inside], y[inside], first[inside]
+    inside[begin[begins] // STRIDE] = True
+    return tuple(o[inside] for o in out)
 
 
-def _train_parts(rows: DataFrame, path: str, model: Attention, every: int, batch: int, rate: float, seed: int) -> None:
-    """One turn over ``rows``: each partition trains from the same weights, then they are averaged by windows."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _train_parts(numbered: DataFrame, model: Attention, batch: int, rate: float, seed: int) -> None:
+    """One turn over ``numbered``: each partition trains from the same weights, then they are averaged by windows."""
+    shared = numbered.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, number, seen = shared.value, TaskContext.get().partitionId(), 0
@@ -544,11 +614,12 @@ def _train_parts(rows: DataFrame, path: str, model: Attention, every: int, batch
             return len(some[0])
 
         for batch_ in released(batches):
-            texts = batch_["text"].tolist()
-            for a, b in _parts(texts):
-                held.append(_windows(texts[a:b], every, Subwords.of(path), local))
-                if sum(len(h[0]) for h in held) >= CHUNK:
-                    seen += step()
+            for row in zip(*(batch_[n] for n in ("ids", "counts", "begins", "ends"))):
+                x, y, first = _cut_windows(*map(np.frombuffer, row, (np.int16, np.int32, bool, bool)))
+                for a in range(0, len(x), CHUNK):
+                    held.append((x[a : a + CHUNK], y[a : a + CHUNK], first[a : a + CHUNK]))
+                    if sum(len(h[0]) for h in held) >= CHUNK:
+                        seen += step()
         if held:
             seen += step()
         if seen:
@@ -556,7 +627,7 @@ def _train_parts(rows: DataFrame, path: str, model: Attention, every: int, batch
             yield pd.DataFrame({"part": [number], "seen": [seen], "w": [flat.tobytes()]})
 
     total, mean = 0, np.zeros(sum(p.size for p in model.w.values()))
-    for r in materialize(rows.mapInPandas(learn, "part int, seen long, w binary"), "lm-weights").orderBy("part").toLocalIterator():
+    for r in materialize(numbered.drop("slice").mapInPandas(learn, "part int, seen long, w binary"), "lm-weights").orderBy("part").toLocalIterator():
         total += r.seen
         mean += (np.frombuffer(r.w, np.float32) - mean) * (r.seen / total)
     if total:

@@ -201,3 +201,25 @@ def test_words_are_cut_one_like_all():
         one = [sub.cut([w]) for w in raw]
         assert length.tolist() == [len(i) for i, _ in one] and ids.tolist() == [k for i, _ in one for k in i]
         assert len(ids) == length.sum()
+
+
+def test_every_window_of_learning_rows_trains(spark, plain):
+    # Texts whose hashes would leave them out where one span in 16 trains.
+    texts = [t for t in ("red green blue " * 15 + f"x{i}" for i in range(400)) if M.xxhash.xxh64_intdigest(t) % 16]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], plain).coalesce(1)
+    scorer = M.fit(docs, rounds=1, sample_chars=1, batch=1)[0]
+    m, sub = scorer.model, M.Subwords.of(scorer.path)
+    ids, counts, _ = M._own_ids([b"red green blue".split() * 15], sub, m)
+    cls, kind = m.logs(ids, counts)
+    assert (cls + kind)[:-1].mean() > -1
+
+
+def test_each_row_is_numbered_once_and_whole(spark, odd):
+    scorer = M.fit(odd, rounds=1)[0]
+    m, sub = scorer.model, M.Subwords.of(scorer.path)
+    rows = odd.selectExpr("CAST(coalesce(text, '') AS binary) text", "doc_id id")
+    got = M._numbered(rows, scorer.path, m, 1, 5).collect()
+    windows = [M._cut_windows(*map(np.frombuffer, r[1:], (np.int16, np.int32, bool, bool))) for r in got]
+    targets = np.concatenate([y[y >= 0] for _, y, _ in windows])
+    ids, _, _ = M._own_ids([M.words_of(r.text) for r in rows.collect()], sub, m)
+    assert sum(first.sum() for _, _, first in windows) == 9 and (np.bincount(targets, minlength=9) == np.bincount(ids, minlength=9)).all()
