@@ -27,12 +27,13 @@ are scored whole, some megabytes at a time. Ids are whole numbers (or text that
 from __future__ import annotations
 
 import base64
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -101,18 +102,21 @@ class Subwords:
         return np.fromiter(chain.from_iterable(single), np.int64), np.array([len(x) for x in single], np.int64)
 
 
-class _Numbers(dict):
-    """Words numbered in order of their first occurrence."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_LOWER).split() if text else []
 
 
+def _all_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of binary texts in turn, those of ``words_of``, and how many each text has."""
+    # The view is not checked for being UTF-8, and what is done to it regards ASCII alone.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    words, edges = lists.flatten().view(pa.binary()), lists.offsets.to_numpy().astype(np.int64)
+    # White space at the ends of a text leaves empty words.
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64))
+    return words.filter(full) if before[-1] < len(words) else words, np.diff(before[edges])
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
@@ -142,85 +146,129 @@ class Attention:
     def train(self, windows: tuple[np.ndarray, np.ndarray, np.ndarray], order: np.ndarray, batch: int, rate: float) -> None:
         """Adam over ``order`` of windows (input ids (n, WINDOW), next ids of the second halves or -1, whether the first half is void)."""
         x_all, y_all, first_all = windows
-        # Weights and what belongs to each lie in one array, of which parts are seen by name.
-        cut = np.cumsum([p.size for p in self.w.values()])[:-1]
-        named = lambda a: {n: part.reshape(p.shape) for (n, p), part in zip(self.w.items(), np.split(a, cut))}
-        weights = np.concatenate([p.ravel() for p in self.w.values()])
-        mean, square, grad, some = (np.zeros_like(weights) for _ in range(4))
-        w = self.w = named(weights)
-        g, seen = named(grad), _context_mask().astype(np.float32)
-        scale, half, ones = np.float32(WIDTH**-0.5), WINDOW - STRIDE, np.ones((max(WINDOW, STARTS, INNER), 1), np.float32)
+        # Weights other than embeddings and what belongs to each lie in one array, of which parts are seen by name.
+        emb, names = self.w["emb"].copy(), [n for n in self.w if n != "emb"]
+        cut = np.cumsum([self.w[n].size for n in names])[:-1]
+        named = lambda a: {n: part.reshape(self.w[n].shape) for n, part in zip(names, np.split(a, cut))}
+        weights = np.concatenate([self.w[n].ravel() for n in names])
+        mean, square, grad = (np.zeros_like(weights) for _ in range(3))
+        w, g, seen = named(weights), named(grad), _context_mask().astype(np.float32)
+        scale, half, ones = np.float32(WIDTH**-0.5), WINDOW - STRIDE, np.ones(max(WINDOW, STRIDE * batch), np.float32)
         rounds = -(-len(order) // batch)
+        # Embeddings of ids outside a batch go on by their mean alone; that is made up when they come again: they lag behind by some
+        # steps, over which mean and square shrink by powers and the weights go by a sum of shrinking steps.
+        lag, e_mean, e_square, there, place = np.zeros(len(emb), np.int64), np.zeros_like(emb), np.zeros_like(emb), np.zeros(len(emb), bool), np.zeros(len(emb), np.int64)
+        t = np.arange(1, rounds + 1)
+        steps = rate * np.minimum(1.0, t / min(100, 1 + rounds // 10)) * (1 - 0.9 * t / rounds) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        ratio, ahead = 0.9 / np.sqrt(0.99), np.zeros(rounds + 1)
+        for t in range(rounds - 1, -1, -1):
+            ahead[t] = ratio * (steps[t] + ahead[t + 1])
+        shrink = [r ** np.arange(rounds + 1) for r in (0.9, 0.99, ratio)]
+
+        def caught_up(ids: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Embeddings after step ``t`` without a gradient since they came last, their means and squares."""
+            late = t - lag[ids]
+            by_mean, by_square, by_ratio = (s.take(late) for s in shrink)
+            way = (ahead.take(t - late) - by_ratio * ahead[t]).astype(np.float32)[:, None]
+            m, s = e_mean.take(ids, axis=0), e_square.take(ids, axis=0)
+            out = _ratio(m, s)
+            out *= way
+            np.subtract(emb.take(ids, axis=0), out, out=out)
+            m *= by_mean.astype(np.float32)[:, None]
+            s *= by_square.astype(np.float32)[:, None]
+            return out, m, s
+
+        # Per id, and last where there is none: which softmax tells it (2: none) and its place there; places of an embedding's weights.
+        head = np.append(np.where(self.starts, 0, 1), 2).astype(np.int8)
+        column = np.append(self.class_of - np.where(self.starts, 0, STARTS), 0)
+        cells, firsts = np.arange(emb.size).reshape(emb.shape), np.arange(STRIDE * batch)
+        heads = slice(0, STARTS), slice(STARTS, STARTS + INNER)
         for t in range(1, rounds + 1):
             at = order[(t - 1) * batch : t * batch]
-            x, y = x_all[at], y_all[at].ravel()
-            real = y >= 0
-            y = np.maximum(y, 0)
-            starts, cls, share = self.starts[y], self.class_of[y], np.float32(1 / max(1, real.sum()))
-            e = w["emb"].take(x, axis=0)
-            flat, own = e.reshape(-1, WIDTH), e[:, half:]
-            flat_own, key_value = own.reshape(-1, WIDTH), np.concatenate([w["k"], w["v"]], axis=1)
-            q = (flat_own @ w["q"]).reshape(own.shape)
-            q *= scale
-            kv = (flat @ key_value).reshape(*x.shape, 2 * WIDTH)
+            x, y, n = x_all.take(at, axis=0).astype(np.int64), y_all.take(at, axis=0).reshape(-1), len(at)
+            # Places in order of their softmax; those without a next id come last and stay 0.
+            heads_of = head.take(y, mode="wrap")
+            rows = heads_of.argsort(kind="stable")
+            ends = np.append(0, np.bincount(heads_of, minlength=3).cumsum())
+            target, share = column.take(y.take(rows), mode="wrap"), np.float32(1 / max(1, ends[2]))
+            there[x] = True
+            ids = np.flatnonzero(there)
+            there[ids] = False
+            place[ids] = np.arange(len(ids))
+            x = place.take(x)
+            some, some_mean, some_square = caught_up(ids, t - 1)
+            e = some.take(x, axis=0)
+            own = np.ascontiguousarray(e[:, half:])
+            flat, flat_own = e.reshape(-1, WIDTH), own.reshape(-1, WIDTH)
+            query, key_value = w["q"] * scale, np.concatenate([w["k"], w["v"]], axis=1)
+            q = (flat_own @ query).reshape(own.shape)
+            kv = (flat @ key_value).reshape(n, WINDOW, 2 * WIDTH)
             k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-            a = q @ k.transpose(0, 2, 1)
-            a += w["bias"]
-            a = _exp(a)
-            a *= seen
-            a[np.flatnonzero(first_all[at]), :, :half] = 0
-            a /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(len(x), STRIDE, 1)
-            both = np.concatenate([own, a @ v], axis=2).reshape(-1, 2 * WIDTH)
+            # Shares of attention are left unscaled; the sums divide what comes of them.
+            a = _exp(q @ k.transpose(0, 2, 1).copy())
+            a *= np.exp(np.clip(w["bias"], -20, 20)) * seen
+            a[first_all[at], :, :half] = 0
+            per = 1 / (a.reshape(-1, WINDOW) @ ones[:WINDOW])[:, None]
+            both = np.empty((n * STRIDE, 2 * WIDTH), np.float32)
+            both[:, :WIDTH] = flat_own
+            z = np.multiply((a @ v).reshape(-1, WIDTH), per, out=both[:, WIDTH:])
             h = both @ w["w1"]
             h += w["b1"]
-            np.maximum(h, 0, out=h)
-            kind = 1 / (1 + np.exp(-np.clip(h @ w["w2"][:, -1] + w["b2"][-1], -30, 30)))
-            d_kind = (kind - starts) * real * share
-            dh = np.outer(d_kind, w["w2"][:, -1])
-            g["w2"][:, -1], g["b2"][-1] = d_kind @ h, d_kind.sum()
-            # The class is one of the kind's.
-            for there, of in ((real & starts, slice(0, STARTS)), (real & ~starts, slice(STARTS, STARTS + INNER))):
-                rows = np.flatnonzero(there)
-                h_of, w_of = h.take(rows, axis=0), w["w2"][:, of]
-                p = h_of @ w_of
-                p += w["b2"][of]
-                p = _exp(p)
-                p /= p @ ones[: p.shape[1]]
-                p[np.arange(len(rows)), cls[rows] - of.start] -= 1
-                p *= share
-                g["w2"][:, of], g["b2"][of] = h_of.T @ p, p.sum(axis=0)
-                dh[rows] += p @ w_of.T
-            dh *= h > 0
-            g["w1"][:], g["b1"][:] = both.T @ dh, dh.sum(axis=0)
-            db = (dh @ w["w1"].T).reshape(len(x), STRIDE, 2 * WIDTH)
-            dz = db[:, :, WIDTH:]
-            da = dz @ v.transpose(0, 2, 1)
-            da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+            alive = h > 0
+            h *= alive
+            h_of = h.take(rows, axis=0)
+            # Odds of the kind that came, then of its classes.
+            to_kind = np.ascontiguousarray(w["w2"][:, -1])
+            d_kind = 1 / (1 + np.exp(-np.clip(h_of @ to_kind + w["b2"][-1], -30, 30)))
+            d_kind[: ends[1]] -= 1
+            d_kind *= share
+            d_kind[ends[2] :] = 0
+            g["w2"][:, -1], g["b2"][-1] = d_kind @ h_of, d_kind.sum()
+            dh_of = d_kind[:, None] * to_kind
+            for low, high, of in zip(ends, ends[1:], heads):
+                w_of, more = w["w2"][:, of], np.exp(np.clip(w["b2"][of], -20, 20))
+                h_in = h_of[low:high]
+                p = _exp(h_in @ w_of)
+                total = p @ more
+                p.reshape(-1)[firsts[: high - low] * p.shape[1] + target[low:high]] -= total / more.take(target[low:high])
+                total = share / total
+                g["b2"][of] = (total @ p) * more
+                h_in *= total[:, None]
+                g["w2"][:, of] = _cross(h_in, p) * more
+                d = p @ (w_of * more).T
+                d *= total[:, None]
+                dh_of[low:high] += d
+            dh = np.empty_like(h)
+            dh[rows] = dh_of
+            dh *= alive
+            g["w1"][:], g["b1"][:] = _cross(both, dh), ones[: len(dh)] @ dh
+            dz = dh @ w["w1"][WIDTH:].T
+            dz *= per
+            fall = np.einsum("ij,ij->i", dz, z)
+            dz = dz.reshape(own.shape)
+            da = dz @ v.transpose(0, 2, 1).copy()
+            da -= fall.reshape(n, STRIDE, 1)
             da *= a
             g["bias"][:] = da.sum(axis=0)
             dq = (da @ k).reshape(-1, WIDTH)
-            dq *= scale
-            d_kv = np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2).reshape(-1, 2 * WIDTH)
-            both_kv = flat.T @ d_kv
-            g["q"][:], g["k"][:], g["v"][:] = flat_own.T @ dq, both_kv[:, :WIDTH], both_kv[:, WIDTH:]
+            d_kv = np.empty_like(kv)
+            np.matmul(da.transpose(0, 2, 1), q, out=d_kv[:, :, :WIDTH])
+            np.matmul(a.transpose(0, 2, 1), dz, out=d_kv[:, :, WIDTH:])
+            d_kv = d_kv.reshape(-1, 2 * WIDTH)
+            both_kv = _cross(flat, d_kv)
+            g["q"][:], g["k"][:], g["v"][:] = _cross(flat_own, dq) * scale, both_kv[:, :WIDTH], both_kv[:, WIDTH:]
             de = (d_kv @ key_value.T).reshape(e.shape)
-            de[:, half:] += db[:, :, :WIDTH]
-            de[:, half:] += (dq @ w["q"].T).reshape(own.shape)
-            g["emb"][:] = np.bincount((x.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)).ravel(), de.ravel(), w["emb"].size).reshape(w["emb"].shape)
-            step = np.float32(rate * min(1.0, t / min(100, 1 + rounds // 10)) * (1 - 0.9 * t / rounds) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
-            # In place: mean and square follow the gradient, weights go by their ratio.
-            np.subtract(grad, mean, out=some)
-            some *= np.float32(0.1)
-            mean += some
-            np.multiply(grad, grad, out=some)
-            some -= square
-            some *= np.float32(0.01)
-            square += some
-            np.sqrt(square, out=some)
-            some += np.float32(1e-8)
-            np.divide(mean, some, out=some)
-            some *= step
-            weights -= some
+            d_own = dq @ query.T
+            d_own += dh @ w["w1"][:WIDTH].T
+            de[:, half:] += d_own.reshape(own.shape)
+            d = np.zeros_like(some)
+            np.add.at(d.reshape(-1), cells.take(x.reshape(-1), axis=0).reshape(-1), de.reshape(-1))
+            step = np.float32(steps[t - 1])
+            _adam(some, some_mean, some_square, d, step)
+            _adam(weights, mean, square, grad, step)
+            emb[ids], e_mean[ids], e_square[ids], lag[ids] = some, some_mean, some_square, t
+        emb = caught_up(np.arange(len(emb)), rounds)[0]
+        self.w = {"emb": emb, **w}
 
     def ready(self) -> Forward:
         return Forward(self)
@@ -235,7 +283,36 @@ class Attention:
 
 def _exp(x: np.ndarray) -> np.ndarray:
     """In place; what would leave floats in a sum is drawn to its bounds."""
-    return np.exp(np.clip(x, np.float32(-60), np.float32(60), out=x), out=x)
+    return np.exp(np.clip(x, np.float32(-40), np.float32(40), out=x), out=x)
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of tall matrices, a block of rows at a time."""
+    m = len(a) // 128 * 128
+    out = (a[:m].reshape(-1, 128, a.shape[1]).transpose(0, 2, 1) @ b[:m].reshape(-1, 128, b.shape[1])).sum(axis=0)
+    if m < len(a):
+        out += a[m:].T @ b[m:]
+    return out
+
+
+def _ratio(mean: np.ndarray, square: np.ndarray) -> np.ndarray:
+    out = np.sqrt(square)
+    out += np.float32(1e-8)
+    return np.divide(mean, out, out=out)
+
+
+def _adam(weights: np.ndarray, mean: np.ndarray, square: np.ndarray, grad: np.ndarray, step: np.float32) -> None:
+    """In place: mean and square follow the gradient, weights go by their ratio."""
+    some = grad - mean
+    some *= np.float32(0.1)
+    mean += some
+    np.multiply(grad, grad, out=some)
+    some -= square
+    some *= np.float32(0.01)
+    square += some
+    some = _ratio(mean, square)
+    some *= step
+    weights -= some
 
 
 #: Exponents of two between which ratios and sums stay inside floats.
@@ -263,11 +340,14 @@ class Forward:
         self.key_value = np.concatenate([key, w["emb"] @ w["v"]], axis=1).astype(np.float32)
         self.bias = ((bias + 127) * unit).astype(np.float32)
         self.seen = np.where(_context_mask(), -1, 0).astype(np.int32)
-        self.own, self.w1 = (w["emb"] @ w["w1"][:WIDTH] + w["b1"]).astype(np.float32), w["w1"][WIDTH:].astype(np.float32)
+        # Hidden values end with a one, which adds the bias of the heads.
+        one = np.ones((len(w["emb"]), 1))
+        self.own = np.concatenate([w["emb"] @ w["w1"][:WIDTH] + w["b1"], one], axis=1).astype(np.float32)
+        self.w1 = np.append(w["w1"][WIDTH:], np.zeros((WIDTH, 1)), axis=1).astype(np.float32)
         w2, b2 = w["w2"] * _LOG2E, w["b2"] * _LOG2E
         cut = [slice(0, STARTS), slice(STARTS, STARTS + INNER)]
-        self.heads = [((w2[:, c] * unit).astype(np.float32), ((b2[c] + 127) * unit).astype(np.float32)) for c in cut]
-        self.kind = w2[:, -1].astype(np.float32), np.float32(b2[-1])
+        self.heads = [(np.vstack([w2[:, c], b2[c] + 127]) * unit).astype(np.float32) for c in cut]
+        self.kind = np.append(w2[:, -1], b2[-1]).astype(np.float32)
 
     def __call__(self, own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         blocks = -(-counts // STRIDE)
@@ -297,7 +377,7 @@ class Forward:
         shape, strides = (n, WINDOW, WIDTH), (STRIDE * rows, rows, cell)
         key = np.lib.stride_tricks.as_strided(kv, shape, strides)
         value = np.lib.stride_tricks.as_strided(kv[:, WIDTH:], shape, strides)
-        a = self.query.take(x[STRIDE:], axis=0).reshape(n, STRIDE, WIDTH) @ key.transpose(0, 2, 1)
+        a = self.query.take(x[STRIDE:], axis=0).reshape(n, STRIDE, WIDTH) @ key.transpose(0, 2, 1).copy()
         a += self.bias
         bits = _powers(a)
         bits &= self.seen
@@ -308,23 +388,22 @@ class Forward:
         z /= (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)).reshape(n, STRIDE, 1)
         h = z.reshape(-1, WIDTH) @ self.w1
         h += self.own.take(x[STRIDE:], axis=0)
-        return np.maximum(h, 0, out=h)
+        h *= h > 0
+        return h
 
     def _some(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.hidden(x, first)
         starts = self.starts[y]
         cls = np.zeros(len(y), np.float32)
-        for inner, (w, b) in enumerate(self.heads):
+        for inner, w in enumerate(self.heads):
             at = np.flatnonzero((starts != bool(inner)) & (y >= 0))
-            out = h.take(at, axis=0) @ w
-            out += b
-            p = _powers(out).view(np.float32)
-            hit = p[np.arange(len(at)), self.class_of[y[at]] - STARTS * inner]
-            cls[at] = np.log2(hit / (p @ np.ones((p.shape[1], 1), np.float32))[:, 0])
+            p = _powers(h.take(at, axis=0) @ w).view(np.float32)
+            hit = p.reshape(-1).take(np.arange(len(at)) * p.shape[1] + self.class_of.take(y.take(at)) - STARTS * inner)
+            cls[at] = np.log2(hit / (p @ np.ones(p.shape[1], np.float32)))
         # log2 of a logistic function, for the kind that came.
-        z = h @ self.kind[0] + self.kind[1]
-        z[~starts] *= -1
-        return cls, -np.logaddexp2(np.float32(0), -z)
+        z = h @ self.kind
+        z *= np.where(starts, np.float32(1), np.float32(-1))
+        return cls, np.minimum(z, 0) - np.log2(1 + np.exp2(-np.abs(z)))
 
 
 def _classes(keys: np.ndarray, times: np.ndarray, frequency: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -373,18 +452,26 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _count_words(rows: DataFrame) -> DataFrame:
     """(word, c) of all words and end marks."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
-        for batch in released(batches):
-            for text in batch["text"]:
-                c.update(words_of(text))
-            c[END_WORD] += len(batch)
-            if len(c) > 200_000:
-                yield pd.DataFrame({"word": list(c), "c": list(c.values())})
-                c.clear()
-        yield pd.DataFrame({"word": list(c), "c": list(c.values())})
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
-    return rows.select("text").mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, ends = [], 0, 0
+        for batch in released(batches):
+            some = _all_words(batch.column(0))[0].value_counts()
+            held.append(pa.table({"word": some.field(0), "c": some.field(1)}))
+            size, ends = size + len(some), ends + len(batch)
+            if size > 400_000:
+                held = [merged(held)]
+                size = len(held[0])
+                if size > 200_000:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if ends:
+            held.append(pa.table({"word": pa.array([END_WORD], pa.binary()), "c": pa.array([ends], pa.int64())}))
+            yield from merged(held).to_batches()
+
+    return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _id_counts(words: DataFrame, path: str) -> np.ndarray:
@@ -410,15 +497,22 @@ def _numbered(rows: DataFrame, path: str, model: Attention, every: int, seed: in
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subwords = Subwords.of(path)
+        numbers = _WordIds(Subwords.of(path), shared.value)
         for batch in released(batches):
             texts, turn = batch["text"].tolist(), batch["slice"].to_numpy()
+            if every == 1:
+                place, sizes = numbers.number(texts)
+                edge = np.append(0, np.cumsum(sizes))
             for a, b in _parts(texts):
-                pieces, begins, ends, own = [], [], [], []
-                for text, k in zip(texts[a:b], turn[a:b]):
-                    for words, first, last in _pieces(text, every):
-                        pieces.append(words), begins.append(first), ends.append(last), own.append(k)
-                ids, counts, _ = _own_ids(pieces, subwords, shared.value)
+                if every == 1:
+                    own, begins, ends = turn[a:b], np.ones(b - a, bool), np.ones(b - a, bool)
+                    _, ids, counts, _ = numbers.ids(place[edge[a] : edge[b]], sizes[a:b])
+                else:
+                    pieces, begins, ends, own = [], [], [], []
+                    for text, k in zip(texts[a:b], turn[a:b]):
+                        for words, first, last in _pieces(text, every):
+                            pieces.append(words), begins.append(first), ends.append(last), own.append(k)
+                    _, ids, counts, _ = numbers(pieces)
                 ids, counts, own, begins, ends = ids.astype(np.int16), counts.astype(np.int32), np.array(own), np.array(begins, bool), np.array(ends, bool)
                 for k in np.unique(own):
                     there = own == k
@@ -649,22 +743,58 @@ def _cutoff(words: DataFrame, bound: int) -> int:
 
 def _own_ids(docs: list[list[bytes]], subwords: Subwords, model: Attention) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model's ids of texts in turn, each with its end mark, how many each has, and how many each word has."""
-    number = _Numbers()
-    place = np.fromiter(map(number.__getitem__, chain.from_iterable(docs)), dtype=np.int64, count=sum(map(len, docs)))
-    return _spread(place, np.array([len(d) for d in docs], np.int64), list(number), subwords, model)
-
-
-def _spread(place: np.ndarray, sizes: np.ndarray, words: list[bytes], subwords: Subwords, model: Attention) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same of texts given as numbers of words."""
-    flat, length = subwords.cut(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    flat, length = np.append(model.raw_to_own[flat], np.int32(END)), np.append(length, 1)
-    begin = np.cumsum(length) - length
-    # The end mark follows the words of each text.
-    order = np.insert(place, np.cumsum(sizes), len(words)) if len(sizes) else place
-    each = length[order]
-    at = np.repeat(begin[order] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-    return flat[at], np.bincount(doc, weights=each, minlength=len(sizes)).astype(np.int64), each
+    return _WordIds(subwords, model)(docs)[1:]
+
+
+class _WordIds:
+    """Ids of texts one lot after another: a word is cut when it is first met and held for later lots, until more than ``MOST`` are held."""
+
+    MOST = 1 << 18
+
+    def __init__(self, subwords: Subwords, model: Attention, about: Callable[[list[bytes]], tuple[np.ndarray, ...]] = lambda words: ()):
+        self.subwords, self.own, self._about = subwords, model.raw_to_own, about
+        self._clear()
+
+    def _clear(self) -> None:
+        # Number 0 is the end mark's.
+        self._words = pa.array([END_WORD], pa.binary())
+        self._ids, self._length = np.array([END], np.int32), np.ones(1, np.int64)
+        #: What ``about`` tells of each word, by number.
+        self.about = self._about([END_WORD])
+
+    def __call__(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``ids`` gives, of texts that are lists of words."""
+        return self.ids(self._numbers(pa.array(chain.from_iterable(docs), pa.binary())), np.array([len(d) for d in docs], np.int64))
+
+    def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts in turn, valid until the next lot, and how many words each text has."""
+        words, sizes = _all_words(pa.array(texts, pa.binary()))
+        return self._numbers(words), sizes
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        if len(self._words) > self.MOST:
+            self._clear()
+        lot = words.dictionary_encode()
+        found, held = pc.index_in(lot.dictionary, value_set=self._words), len(self._words)
+        fresh = found.is_null().to_numpy(zero_copy_only=False)
+        number = found.fill_null(0).to_numpy().astype(np.int64)
+        number[fresh] = held + np.arange(np.count_nonzero(fresh))
+        if fresh.any():
+            new = lot.dictionary.filter(pa.array(fresh))
+            self._words, new = pa.concat_arrays([self._words, new]), new.to_numpy(zero_copy_only=False).tolist()
+            flat, length = self.subwords.cut(new)
+            self._ids, self._length = np.append(self._ids, self.own[flat]), np.append(self._length, length)
+            self.about = tuple(map(np.append, self.about, self._about(new)))
+        return number[lot.indices.to_numpy()]
+
+    def ids(self, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words of texts in turn, each with its end mark, the model's ids of them, how many ids each text has, and how many each word has."""
+        # The end mark follows the words of each text.
+        order = np.insert(place, np.cumsum(sizes), 0) if len(sizes) else place
+        each = self._length[order]
+        at = np.repeat((np.cumsum(self._length) - self._length)[order] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+        return order, self._ids[at], np.bincount(doc, weights=each, minlength=len(sizes)).astype(np.int64), each
 
 
 def word_logs(forward: Forward, model: Attention, left: np.ndarray, ids: np.ndarray, counts: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -686,38 +816,44 @@ def score(docs: DataFrame, scorer: Scorer, tail: DataFrame, *, id_col: str = "do
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s: Scorer = shared.value
-        subwords, floor, forward = Subwords.of(s.path), np.log10(s.n + s.v + 1), s.model.ready()
-        end, ten = word_hash(END_WORD), np.log10(2)
+        floor, forward = np.log10(s.n + s.v + 1), s.model.ready()
+        ten = np.log10(2)
+
+        def about(words: list[bytes]) -> tuple[np.ndarray, ...]:
+            """Hashes, whether the head has them, log10 of the count and one, and log2 of the discounted count."""
+            hashes = np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words)).view(np.int64)
+            at = np.minimum(np.searchsorted(s.hashes, hashes), max(0, len(s.hashes) - 1))
+            there = s.hashes[at] == hashes if len(s.hashes) else np.zeros(len(hashes), bool)
+            count = np.where(there, s.counts[at] if len(s.counts) else 0, 0)
+            with np.errstate(divide="ignore"):
+                return hashes, there, np.log10(count + 1.0), np.log2(np.maximum(count - s.discount[np.minimum(count, 3)], 0))
+
+        numbers = _WordIds(Subwords.of(s.path), s.model, about)
+        total = np.log2(np.maximum(s.size, 1))
         key = TaskContext.get().partitionId() << 36
         for batch in released(batches):
             texts = batch["text"].tolist()
+            place, all_sizes = numbers.number(texts)
+            edge = np.append(0, np.cumsum(all_sizes))
+            hashes, there, value, discounted = numbers.about
             for a, b in _parts(texts):
-                part = [words_of(t) for t in texts[a:b]]
-                number, sizes = _Numbers(), np.array([len(d) for d in part], np.int64)
-                place = np.fromiter(map(number.__getitem__, chain.from_iterable(part)), dtype=np.int64, count=int(sizes.sum()))
-                hashes = np.fromiter(chain(map(word_hash, number), [end]), dtype=np.uint64, count=len(number) + 1).view(np.int64)
-                at = np.minimum(np.searchsorted(s.hashes, hashes), max(0, len(s.hashes) - 1))
-                there = s.hashes[at] == hashes if len(s.hashes) else np.zeros(len(hashes), bool)
-                count = np.where(there, s.counts[at] if len(s.counts) else 0, 0)
-                value = np.log10(count + 1.0)
-                order = np.insert(place, np.cumsum(sizes), len(number))
-                doc = np.repeat(np.arange(len(part)), sizes + 1)
-                base = np.bincount(doc, weights=value[order], minlength=len(part)) - (sizes + 1) * floor
-                n_known = np.bincount(doc, weights=there[order], minlength=len(part)).astype(np.int64)
-                ids, counts, each = _spread(place, sizes, list(number), subwords, s.model)
+                sizes, rows = all_sizes[a:b], b - a
+                order, ids, counts, each = numbers.ids(place[edge[a] : edge[b]], sizes)
+                doc = np.repeat(np.arange(rows), sizes + 1)
+                base = np.bincount(doc, weights=value[order], minlength=rows) - (sizes + 1) * floor
+                n_known = np.bincount(doc, weights=there[order], minlength=rows).astype(np.int64)
                 k, cls, spelled = word_logs(forward, s.model, s.left, ids, counts, each)
-                with np.errstate(divide="ignore"):
-                    counted = np.log2(np.maximum(count - s.discount[np.minimum(count, 3)], 0))[order] - np.log2(np.maximum(s.size[k], 1))
+                counted = discounted[order] - total[k]
                 logs = cls + np.logaddexp2(counted, spelled)
                 # Words outside the head go on with what spelling gives them.
                 left = np.flatnonzero(~there[order])
-                cuts = np.searchsorted(doc[left], np.arange(1, len(part)))
+                cuts = np.searchsorted(doc[left], np.arange(1, rows))
                 yield pd.DataFrame({
-                    "key": key + np.arange(len(part)), "id": batch["id"].iloc[a:b].to_numpy(), "n_tokens": sizes + 1, "n_known": n_known,
-                    "base_score": base, "score": np.bincount(doc, weights=logs, minlength=len(part)) * ten,
+                    "key": key + np.arange(rows), "id": batch["id"].iloc[a:b].to_numpy(), "n_tokens": sizes + 1, "n_known": n_known,
+                    "base_score": base, "score": np.bincount(doc, weights=logs, minlength=rows) * ten,
                     "rest": np.split(hashes[order[left]], cuts), "rest_log": np.split(spelled[left], cuts),
                 })
-                key += len(part)
+                key += rows
 
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     scanned = materialize(source.mapInPandas(scan, "key long, id long, n_tokens long, n_known long, base_score double, score double, rest array<long>, rest_log array<double>"), "lm-scanned")

@@ -223,3 +223,87 @@ def test_each_row_is_numbered_once_and_whole(spark, odd):
     targets = np.concatenate([y[y >= 0] for _, y, _ in windows])
     ids, _, _ = M._own_ids([M.words_of(r.text) for r in rows.collect()], sub, m)
     assert sum(first.sum() for _, _, first in windows) == 9 and (np.bincount(targets, minlength=9) == np.bincount(ids, minlength=9)).all()
+
+
+def test_words_are_cut_once_for_texts_in_turn(monkeypatch):
+    m, sub, seen = tiny(), M.Subwords.of(M.default_vocabulary()), Counter()
+    m.raw_to_own = (np.arange(sub.size + 1) % 16 + 4).astype(np.int32)
+    m.raw_to_own[-1] = M.END
+    cut = M.Subwords.cut
+    monkeypatch.setattr(M.Subwords, "cut", lambda self, words: seen.update(words) or cut(self, words))
+    lots = [[b"the cat sat".split(), []], [b"a cat sat there".split()], [], [[]], [b"caterpillars and the cat".split(), b"blorvex".split()]]
+    numbers = M._WordIds(sub, m, lambda words: (np.array([len(w) for w in words]),))
+    for most in (1 << 18, 3):
+        numbers.MOST = most
+        for docs in lots:
+            order, ids, counts, each = numbers(docs)
+            one = [np.append(m.raw_to_own[cut(sub, d)[0]], M.END) if d else [M.END] for d in docs]
+            assert counts.tolist() == [len(i) for i in one] and ids.tolist() == [k for i in one for k in i] and each.sum() == len(ids)
+            assert numbers.about[0][order].tolist() == [len(w) for d in docs for w in [*d, b""]]
+        if most > 3:
+            assert set(seen.values()) == {1}
+
+
+def some_windows(rng, n):
+    x, y = rng.integers(4, 20, (n, M.WINDOW)).astype(np.int16), rng.integers(4, 20, (n, M.STRIDE)).astype(np.int16)
+    y[::3, 5:] = -1
+    return x, y, rng.random(n) < 0.3
+
+
+def loss(m, w, windows):
+    """Mean loss of the places with a next id, in double precision."""
+    x, y, first = windows
+    e, half = w["emb"][x], M.WINDOW - M.STRIDE
+    s = (e[:, half:] @ w["q"]) @ (e @ w["k"]).transpose(0, 2, 1) * M.WIDTH**-0.5 + w["bias"]
+    s = np.where(M._context_mask() & ~(first[:, None, None] & (np.arange(M.WINDOW) < half)), s, -np.inf)
+    a = np.exp(s) / np.exp(s).sum(axis=2, keepdims=True)
+    o = np.maximum(np.concatenate([e[:, half:], a @ (e @ w["v"])], axis=2) @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"]
+    starts, inner = (np.log(np.exp(o[:, :, c]).sum(axis=2)) for c in (slice(0, M.STARTS), slice(M.STARTS, -1)))
+    start = m.starts[y]
+    lost = np.where(start, starts, inner) - np.take_along_axis(o, m.class_of[y][:, :, None], axis=2)[:, :, 0] + np.log1p(np.exp(np.where(start, -1, 1) * o[:, :, -1]))
+    return lost[y >= 0].mean()
+
+
+def test_a_step_follows_the_loss(monkeypatch):
+    m, rng, got = tiny(), np.random.default_rng(7), []
+    windows, adam = some_windows(rng, 40), M._adam
+    w = {n: p.astype(float) for n, p in m.w.items()}
+    monkeypatch.setattr(M, "_adam", lambda *of: got.append(of[3].copy()) or adam(*of))
+    m.train(windows, np.arange(40), 40, 0.01)
+    rest = np.split(got[1], np.cumsum([w[n].size for n in w if n != "emb"])[:-1])
+    grad = {"emb": np.zeros_like(w["emb"]), **{n: g.reshape(w[n].shape) for n, g in zip([n for n in w if n != "emb"], rest)}}
+    grad["emb"][np.unique(windows[0])] = got[0]
+    for n, p in w.items():
+        for _ in range(3):
+            way = rng.standard_normal(p.shape)
+            there, back = (loss(m, {**w, n: p + d * way}, windows) for d in (1e-5, -1e-5))
+            assert math.isclose((there - back) / 2e-5, (way * grad[n]).sum(), rel_tol=1e-3, abs_tol=1e-4), n
+
+
+def test_embeddings_go_on_between_their_batches(monkeypatch):
+    m, rng, got = tiny(), np.random.default_rng(8), []
+    x, y, first = some_windows(rng, 240)
+    # Some ids come in few batches only.
+    x[20:200] = np.where(x[20:200] > 9, 4, x[20:200])
+    emb, adam = m.w["emb"].astype(float), M._adam
+    monkeypatch.setattr(M, "_adam", lambda *of: got.append(of[3].astype(float)) or adam(*of))
+    m.train((x, y, first), np.arange(240), 4, 0.01)
+    mean, square = np.zeros_like(emb), np.zeros_like(emb)
+    for t in range(1, 61):
+        grad = np.zeros_like(emb)
+        grad[np.unique(x[4 * t - 4 : 4 * t])] = got[2 * t - 2]
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        emb -= 0.01 * min(1, t / 7) * (1 - 0.9 * t / 60) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t) * mean / (np.sqrt(square) + 1e-8)
+    assert np.allclose(m.w["emb"], emb, atol=1e-4) and list(m.w) == list(tiny().w)
+
+
+def test_words_of_texts_are_those_of_lists():
+    m, sub, rng = tiny(), M.Subwords.of(M.default_vocabulary()), np.random.default_rng(9)
+    m.raw_to_own = (np.arange(sub.size + 1) % 16 + 4).astype(np.int32)
+    m.raw_to_own[-1] = M.END
+    signs = [b"a", b"B", b"\xc3\x89", b"\xff", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x85", b"\xc2\xa0", b"\x00"]
+    texts = [b"".join(signs[i] for i in rng.integers(0, len(signs), n)) for n in rng.integers(0, 12, 300)] + [b"", b" ", b"\n\n"]
+    one, two = M._WordIds(sub, m), M._WordIds(sub, m)
+    for lot in (texts[:100], [], texts[100:], [b""]):
+        for a, b in zip(one.ids(*one.number(lot)), two([M.words_of(t) for t in lot])):
+            assert a.tolist() == b.tolist()
