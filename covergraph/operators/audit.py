@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from covergraph.operators.diagnostics import compute_boundary_diagnostics
 from covergraph.operators.graph import build_mapper
+from covergraph.operators.witness import counted_pairs
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -36,15 +37,13 @@ def audit_balls(reference: DataFrame, approximate: DataFrame, balls: DataFrame)
 
 def audit_witness(reference: DataFrame, approximate: DataFrame) -> DataFrame:
     """Per edge of either graph: counts, retained, lost and added witnesses, change, retained_fraction (NaN for new edges), status."""
-    # Points that lie in the same balls on the same sides are one pattern with a weight before pairs are made.
-    held = _both(reference, approximate).groupBy("point_id").agg(F.sort_array(F.collect_set(F.struct("ball_id", "r", "a"))).alias("b")).where(F.size("b") > 1)
-    first = held.groupBy("b").agg(F.count("*").alias("w")).select("b", "w", F.posexplode("b").alias("i", "x"))
-    pairs = first.select("w", "x", F.explode(F.slice("b", F.col("i") + 2, F.size("b"))).alias("y"))
-    r, a = (F.col("x.r") + F.col("y.r")) == 2, (F.col("x.a") + F.col("y.a")) == 2
-    weight = lambda where: F.sum(F.when(where, F.col("w")).otherwise(0)).cast("long")
-    counted = pairs.where(r | a).groupBy(F.col("x.ball_id").alias("src"), F.col("y.ball_id").alias("dst")).agg(
-        weight(r).alias("reference_count"), weight(a).alias("approximate_count"), weight(r & a).alias("retained_witnesses"),
-        weight(r & ~a).alias("lost_witnesses"), weight(a & ~r).alias("added_witnesses"))
+    # Points that lie in the same balls on the same sides are one pattern with a weight; a code is 4 * ball + r + 2 * a.
+    code = F.col("ball_id").cast("long") * 4 + F.col("r") + 2 * F.col("a")
+    held = _both(reference, approximate).groupBy("point_id").agg(F.sort_array(F.collect_list(code)).alias("b")).where(F.size("b") > 1)
+    pairs = counted_pairs(held.groupBy("b").agg(F.count("*").alias("w")))
+    counted = pairs.select(
+        "src", "dst", (F.col("n1") + F.col("n3")).alias("reference_count"), (F.col("n2") + F.col("n3")).alias("approximate_count"), F.col("n3").alias("retained_witnesses"),
+        F.col("n1").alias("lost_witnesses"), F.col("n2").alias("added_witnesses"))
     n = F.col("reference_count")
     return counted.select(
         "*", (F.col("approximate_count") - n).alias("change"), F.when(n > 0, F.col("retained_witnesses") / n).otherwise(F.lit(float("nan"))).alias("retained_fraction"),
